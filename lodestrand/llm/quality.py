@@ -64,7 +64,8 @@ def lines_over_limits(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """A row (doc_id, twin, host, the base counts, base_failed, left_words, depleted, kept, gone) per row of docs; gone: places of lines above the limits."""
     gone = lines_over_limits(docs).groupBy(*KEY).agg(F.sum("words").alias("words"), F.collect_set("pos").alias("gone"))
-    base = base_counts(docs).join(gone, KEY, "left")
+    # cut here: a filter on kept would else be pushed below the counts, and copy their expressions many times over
+    base = cut(base_counts(docs)).join(gone, KEY, "left")
     base = base.withColumn("left_words", F.col("n_words") - F.coalesce("words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PART * F.col("n_words"))
     depleted = (F.col("left_words") < LEFT_WORDS) | (F.col("left_words") < LEFT_PART * F.col("n_words"))
