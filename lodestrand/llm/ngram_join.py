@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,38 +60,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield batch, i, shingle_sets(data, at[i : j + 1])
 
 
-PROFILE = "kind int, id long, n long, cls long"
+PROFILE = "kind int, id long, n long, cls long, bits binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document with its set's size and class. Kind 1: a shingle that this task saw LOCAL times, and how often (n)."""
-    seen, waiting, held = [], [], 0
+    """Kind 0: a document with its set's size, class and bitmap. Kind 1: a shingle that this task saw LOCAL times, and how often (n)."""
+    waiting, held = [], 0
+    names = ["kind", "id", "n", "cls", "bits"]
 
-    def repeated(parts: list[np.ndarray]) -> np.ndarray:
-        s = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        return s
-
-    def counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, int)
+    def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        s = np.sort(np.concatenate(parts))
+        edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
         n = np.diff(edge)
         often = n >= LOCAL
-        return s[edge[:-1]][often], n[often]
-
-    def frequent(s: np.ndarray) -> pa.RecordBatch:
-        value, n = counts(s)
-        return pa.record_batch([pa.array(np.ones(len(n), np.int32)), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))], names=["kind", "id", "n", "cls"])
+        value, n = s[edge[:-1]][often], n[often].astype(np.int64)
+        return pa.record_batch([pa.array(np.ones(len(n), np.int32)), pa.array(value.view(np.int64)), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
 
     for batch, i, sets in _sets(batches):
         ids = batch.column("doc_id").slice(i, len(sets)).cast(pa.int64())
-        yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["kind", "id", "n", "cls"])
+        yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=names)
         waiting += sets
         held += sum(map(len, sets))
         if held > 4_000_000:  # 32 MB; counts start anew
-            yield frequent(repeated(waiting))
+            yield frequent(waiting)
             waiting, held = [], 0
     if held:
-        yield frequent(repeated(waiting))
-    del seen
+        yield frequent(waiting)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -128,17 +123,38 @@ def _entries(frequent, threshold: Fraction):
     return run
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, sets in _sets(batches):
-        full = [s for s in sets if len(s)]
-        yield pa.record_batch(
-            [pa.array([class_of(s) for s in full], pa.int64()), pa.array([len(s) for s in full], pa.int64()), pa.array([bitmap(s).tobytes() for s in full], pa.binary()), pa.array([s.tobytes() for s in full], pa.binary())],
-            names=["cls", "n", "bits", "members"],
-        )
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for a shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        data, at = text_bytes(batch.column("text"))
+        yield pa.record_batch([batch.column("doc_id"), pa.array([pack(data[at[i] : at[i + 1]]) for i in range(len(at) - 1)], pa.binary())], names=["doc_id", "z"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (z, cls, a, b) the members of the text's set, where its class is cls. Rows of one text come together."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    last, members, own = None, b"", 0
+    for batch in batches:
+        keep, out = [], []
+        for i, (z, cls) in enumerate(zip(batch.column("z").to_pylist(), batch.column("cls").to_pylist())):
+            if z != last:
+                raw = np.frombuffer(unpack(z), np.uint8)
+                s = shingle_sets(raw, np.array([0, len(raw)]))[0]
+                last, members, own = z, s.tobytes(), class_of(s) if len(s) else None
+            if own == cls:
+                keep.append(i)
+                out.append(members)
+            if len(out) >= 512:
+                at = pa.array(keep, pa.int64())
+                yield pa.record_batch([batch.column(k).take(at) for k in ("a", "b", "cls")] + [pa.array(out, pa.binary())], names=["a", "b", "cls", "members"])
+                keep, out = [], []
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([batch.column(k).take(at) for k in ("a", "b", "cls")] + [pa.array(out, pa.binary())], names=["a", "b", "cls", "members"])
 
 
 def _bounded(threshold: Fraction):
-    """Of pairs (a, n_a, bits_a, b, n_b, bits_b), those whose bitmaps allow a link."""
+    """Of pairs (a, n_a, bits_a, b, n_b, bits_b, met), those whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,27 +165,29 @@ def _bounded(threshold: Fraction):
                 if o * (threshold.denominator + threshold.numerator) >= threshold.numerator * (na + nb):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch([a.take(at), b.take(at)], names=["a", "b"])
+            yield pa.record_batch([a.take(at), b.take(at), batch.column("met").take(at)], names=["a", "b", "met"])
 
     return run
 
 
 def _exact(threshold: Fraction):
-    """Of pairs with their members, those that link: sorted arrays are intersected."""
+    """Of sides (a, b, cls, members) in order of (a, b), the pairs that link: sorted arrays are intersected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, first = None, (0, b"")
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("members_a"), batch.column("members_b"))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                o = int((q[at] == p).sum())
-                if threshold.denominator * o >= threshold.numerator * (len(p) + len(q) - o):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+            out = []
+            for a, b, cls, members in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "cls", "members"))):
+                if (a, b) != pair:
+                    pair, first = (a, b), (cls, members)
+                elif first and cls != first[0]:
+                    p, q = sorted((np.frombuffer(first[1], np.uint64), np.frombuffer(members, np.uint64)), key=len)
+                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                    o = int((q[at] == p).sum())
+                    if threshold.denominator * o >= threshold.numerator * (len(p) + len(q) - o):
+                        out.append((a, b))
+                    first = None  # a repeated row's side comes again
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -205,15 +223,21 @@ def _tile(threshold: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link: sizes and bitmaps first, members only for what is left."""
-    light = sets.select("cls", "n", "bits")
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of pairs (a, b, met) of classes, those whose sizes and bitmaps allow a link."""
+    light = classes.select("cls", "n", "bits")
     left, right = (light.select(*(F.col(c).alias(d) for c, d in zip(light.columns, (x, f"n_{x}", f"bits_{x}")))) for x in "ab")
     p, q = threshold.numerator, threshold.denominator
     near = pairs.join(left, "a").join(right, "b").where(f"least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p}")
-    near = near.mapInArrow(_bounded(threshold), "a long, b long")
-    left, right = (sets.select(F.col("cls").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
-    return near.join(left, "a").join(right, "b").mapInArrow(_exact(threshold), "a long, b long")
+    return near.mapInArrow(_bounded(threshold), "a long, b long, met long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of pairs (a, b) of classes, those that link. A class's members come from the text of its smallest document."""
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
+    texts = docs.mapInArrow(_packed, "doc_id long, z binary").join(sides, "doc_id").select("z", "cls", "a", "b")
+    members = texts.mapInArrow(_sides, "a long, b long, cls long, members binary")
+    return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_exact(threshold), "a long, b long")
 
 
 def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -222,12 +246,14 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     A text's words are split at ASCII white space and A-Z is folded; its set holds the 64-bit hashes of its 5-word
     shingles, or of the whole sequence if it has fewer words. Rows link at a Jaccard similarity of `threshold` or
     more; component_id is the smallest doc_id that links reach. Empty or null texts link with nothing and keep their
-    own id. A null doc_id never names a component: it has that of what it links with, else null. Repeated rows are
+    own id. A null doc_id never names a component: it has that of its copies, and rows with a null doc_id and no copy
+    with an id link with nothing and have null. Repeated rows are
     rows of their own, in one component. An empty table gives an empty result.
 
     1. A pass gives each row's set a class, so that copies are one from here on, and the frequent shingles.
     2. Prefixes (see `prefix`) meet by shingle. Each bucket's smallest class is paired with the others (a star, not
-       all pairs); what links is joined into components, so large groups of near copies fall together.
+       all pairs); bitmaps bound the pairs, and each class's best one is intersected. What links is joined into
+       components, so large groups of near copies fall together.
     3. Buckets that still hold more than one component go to tiles by size band, where all pairs between different
        components are bounded by bitmaps; those that may link are intersected. So no link between components is lost.
     """
@@ -241,14 +267,14 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     entries = docs.mapInArrow(_entries(told, threshold), "tok long, cls long")
     bucket = Window.partitionBy("tok")
     shared = cut(entries.withColumns({"low": F.min("cls").over(bucket), "high": F.max("cls").over(bucket)}).where("low <> high").select("tok", "cls", "low").distinct())
-    members = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    carriers = members.join(shared.select("cls").distinct(), "cls").where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(docs.join(carriers, "doc_id", "left_semi").mapInArrow(_signatures, "cls long, n long, bits binary, members binary").dropDuplicates(["cls"]))
-    stars = shared.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
-    links = cut(_verified(stars, sets, threshold))
+    classes = cut(base.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    stars = shared.where("cls <> low").groupBy(F.col("low").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("met"))
+    # of a class's stars the one that it has most in common with; tiles deal with the others if they still matter
+    stars = _possible(stars, classes, threshold).groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
+    links = cut(_verified(stars, classes, docs, threshold))
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what is left between components
-    light = sets.select("cls", "n", "bits").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    light = classes.select("cls", "n", "bits").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     still = shared.select("tok", "cls").join(light.select("cls", "n", "comp"), "cls")
     open_ = still.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
     still = still.join(open_.select("tok", "rows"), "tok")
@@ -262,9 +288,9 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
     tiles = tiles.join(light.select("cls", "bits"), "cls")
     near = tiles.groupBy("tok", "k", "p", "q").applyInArrow(_tile(threshold), "a long, b long").distinct()
-    more = cut(_verified(near, sets, threshold))
+    more = cut(_verified(near, classes, docs, threshold))
     linked = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = members.join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
