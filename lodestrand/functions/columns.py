@@ -83,7 +83,7 @@ def reverse_complement(c: Column) -> Column:
 
 def one_hot(c: Column) -> Column:
     """An array (A, C, G, T) for each base; unknown bases are zeros (Q2)."""
-    return F.transform(F.filter(F.split(F.upper(c), ""), lambda x: x != ""), lambda x: F.array(*((x == b).cast("int") for b in "ACGT")))
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.array(*((F.upper(x) == b).cast("int") for b in "ACGT")))
 
 
 def from_one_hot(c: Column) -> Column:

@@ -189,7 +189,7 @@ def dna(n: int):
 
 
 both("q1_reverse_complement", lambda t: t.documents.select("doc_id", C.reverse_complement(dna(60)).alias("rc")), f"SELECT doc_id, reverse(translate({DNA}, 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents")
-both("q2_one_hot", lambda t: t.documents.select(F.posexplode(C.one_hot(dna(60))).alias("i", "v")).groupBy("i").agg(*(F.sum(F.get("v", F.lit(k))).alias(b) for k, b in enumerate("acgt"))), f"SELECT i, {', '.join(f'''count(*) FILTER (substr(s, i + 1, 1) = '{b}') AS {b.lower()}''' for b in 'ACGT')} FROM (SELECT {DNA} AS s, unnest(range(0, length({DNA}))) AS i FROM documents) GROUP BY i")
+both("q2_one_hot", lambda t: t.documents.select(F.posexplode(C.one_hot(dna(60))).alias("i", "v")).groupBy("i").agg(*(F.sum(F.get("v", F.lit(k))).alias(b) for k, b in enumerate("acgt"))), f"SELECT i, {', '.join(f'''count(*) FILTER (upper(substr(s, i + 1, 1)) = '{b}') AS {b.lower()}''' for b in 'ACGT')} FROM (SELECT {DNA} AS s, unnest(range(0, length({DNA}))) AS i FROM documents) GROUP BY i")
 both("q4_masked_counts", lambda t: t.documents.select("doc_id", C.masked(F.col("text")).alias("n")), "SELECT doc_id, length(regexp_replace(text, '[^a-zN]', '', 'g')) AS n FROM documents")
 both("q10_mutants", lambda t: t.documents.where("doc_id < 50").select("doc_id", F.explode(C.single_mutants(dna(12))).alias("m")).select("doc_id", "m.pos", "m.ref", "m.alt", "m.mutant"), "SELECT doc_id, i AS pos, substr(s, i + 1, 1) AS ref, b AS alt, substr(s, 1, i) || b || substr(s, i + 2) AS mutant FROM (SELECT doc_id, s, i, unnest(['A', 'C', 'G', 'T']) AS b FROM (SELECT doc_id, s, unnest(range(0, length(s))) AS i FROM (SELECT doc_id, translate(substr(text, 1, 12), 'etaoinshrdluETAOINSHRDLU', 'ACGTACGTACGTACGTACGTACGT') AS s FROM documents WHERE doc_id < 50))) WHERE substr(s, i + 1, 1) IN ('A', 'C', 'G', 'T') AND substr(s, i + 1, 1) <> b")
 both("r1_pools", lambda t: t.lineitem.groupBy(F.floor(F.col("l_partkey") / 16).alias("bin")).agg(*(F.round(f(F.col("l_quantity")), 6).alias(k) for k, f in C.POOLS.items())), "SELECT l_partkey // 16 AS bin, round(sum(l_quantity), 6) AS sum, round(sqrt(1 + sum(l_quantity)) - 1, 6) AS sum_sqrt, round((1 + sum(l_quantity)) ** 0.75 - 1, 6) AS sum_exp75, round(avg(l_quantity), 6) AS mean, round(sqrt(1 + avg(l_quantity)) - 1, 6) AS mean_sqrt, median(l_quantity) AS median, max(l_quantity) AS max, greatest(least(sqrt(4 * max(l_quantity)), 1), 0) AS peak FROM lineitem GROUP BY 1")
