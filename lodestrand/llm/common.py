@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -62,6 +64,28 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, at
 
 
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a text column compressed to the binary column z, for a shuffle; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = batch.column(column)
+            data, at = text_bytes(texts)
+            known = texts.is_valid().to_pylist()
+            z = pa.array([pack(data[at[i] : at[i + 1]]) if known[i] else None for i in range(len(known))], pa.binary())
+            yield pa.record_batch([*(batch.column(c) for c in others), z], names=[*others, "z"])
+
+    others = [c for c in df.columns if c != column]
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in others), T.StructField("z", T.BinaryType())]))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts of a column z, as a string column."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if z is None else unpack(z) for z in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes each, or one row."""
     i, n = 0, len(at) - 1

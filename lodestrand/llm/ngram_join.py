@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, U, blocks, cut, mix, ready, shingle_sets, text_bytes
+from .common import BLOCK_BYTES, U, blocks, cut, mix, packed, ready, shingle_sets, text_bytes
 from .graph import components
 
 #: Most frequent shingles that are told to every task, as 8-byte hashes (4 MB). They only set the order in which a
@@ -123,14 +123,6 @@ def _entries(frequent, threshold: Fraction):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, for a shuffle."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        data, at = text_bytes(batch.column("text"))
-        yield pa.record_batch([batch.column("doc_id"), pa.array([pack(data[at[i] : at[i + 1]]) for i in range(len(at) - 1)], pa.binary())], names=["doc_id", "z"])
-
-
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows (z, cls, a, b) the members of the text's set, where its class is cls. Rows of one text come together."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -139,7 +131,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, out = [], []
         for i, (z, cls) in enumerate(zip(batch.column("z").to_pylist(), batch.column("cls").to_pylist())):
             if z != last:
-                raw = np.frombuffer(unpack(z), np.uint8)
+                raw = np.frombuffer(unpack(z) if z else b"", np.uint8)
                 s = shingle_sets(raw, np.array([0, len(raw)]))[0]
                 last, members, own = z, s.tobytes(), class_of(s) if len(s) else None
             if own == cls:
@@ -235,7 +227,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> Data
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """Of pairs (a, b) of classes, those that link. A class's members come from the text of its smallest document."""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
-    texts = docs.mapInArrow(_packed, "doc_id long, z binary").join(sides, "doc_id").select("z", "cls", "a", "b")
+    texts = packed(docs).join(sides, "doc_id").select("z", "cls", "a", "b")
     members = texts.mapInArrow(_sides, "a long, b long, cls long, members binary")
     return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_exact(threshold), "a long, b long")
 

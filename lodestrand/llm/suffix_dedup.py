@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, U, blocks, cut, mix, prefix_hash, Powers, ready, text_bytes
+from .common import BLOCK_BYTES, U, blocks, cut, mix, packed, prefix_hash, Powers, ready, text_bytes, unpacked
 
 #: Bytes of an anchor. A window of 100 bytes has 69 of them; about one position in 35 is some window's smallest.
 ANCHOR = 32
@@ -70,7 +70,7 @@ def anchored_runs(data: np.ndarray, length: int, starts: np.ndarray, ends: np.nd
     return first, count, at[first], h[at[first]]
 
 
-ANCHORS = "anchor long, doc long, twin long, run long"
+ANCHORS = "anchor long, key long, run long"
 
 
 def pack(start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -82,18 +82,27 @@ def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
-            doc, twin = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "twin"))
+            key = batch.column("key").to_numpy()
             for i, j in blocks(at, BLOCK_BYTES):
                 bounds = at[i : j + 1] - at[i]
                 first, count, place, h = anchored_runs(data[at[i] : at[j]], length, bounds[:-1], bounds[1:])
                 row = np.searchsorted(bounds, first, "right") - 1
                 # of empty documents at one place, the last bound holds the windows
-                packed = pack(first - bounds[row], count, place - first)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc[i + row]), pa.array(twin[i + row]), pa.array(packed)], names=["anchor", "doc", "twin", "run"])
+                run_ = pack(first - bounds[row], count, place - first)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(key[i + row]), pa.array(run_)], names=["anchor", "key", "run"])
 
     return run
 
 
+def hashes_at(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hashes of the ANCHOR bytes at each place."""
+    h = np.zeros(len(place), np.uint64)
+    up, _ = Powers.to(ANCHOR)
+    for k in range(ANCHOR):
+        h += (data[place + k].astype(np.uint64) + U(1)) * up[k]
+    return mix(h)
+
+
 STRINGS = "anchor long, doc long, twin long, run long, shard long, bytes binary"
 
 
@@ -102,14 +111,14 @@ def _strings(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_bytes(batch.column("text"))
+            data, at = text_bytes(unpacked(batch.column("z")))
             runs = batch.column("runs")
             flat = runs.flatten()
             of = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
-            anchor, packed = (flat.field(k).to_numpy() for k in (0, 1))
-            shard = flat.field(2)
+            packed, shard = flat.field(0).to_numpy(), flat.field(1)
             doc, twin = (batch.column(k).to_numpy(zero_copy_only=False)[of] for k in ("doc", "twin"))
             begin = at[of] + (packed >> 20)
+            anchor = hashes_at(data, begin + (packed & 1023)).view(np.int64)
             size = ((packed >> 10) & 1023) + length - 1
             for a in range(0, len(of), 20_000):
                 b = min(a + 20_000, len(of))
@@ -271,9 +280,9 @@ def _in_buckets(strings: DataFrame, length: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, twin, text, row): a document's place in the order (a null doc_id comes first; rows of one doc_id go by a hash of their text), and its row as it was."""
+    """(doc, twin, text, row, own): a document's place in the order (a null doc_id comes first; rows of one doc_id go by a hash of their text), and its row, its text apart (own) and as it was."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"), F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("own"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -286,12 +295,14 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     same = docs.select("doc", "twin", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
     copied = same.groupBy("twin", "md5", "size").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     copies = cut(same.join(copied, ["twin", "md5", "size"]).where("doc > least").select("doc", "twin", "size").distinct())
-    anchors = docs.mapInArrow(_anchors(length), ANCHORS)
+    # one 64-bit key for (doc, twin) until the strings are cut out
+    key = F.xxhash64("doc", "twin").alias("key")
+    anchors = docs.select(key, "text").mapInArrow(_anchors(length), ANCHORS)
     runs = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
     # a hot bucket's strings are reduced in shards of about HOT first; what is left of them meets afterwards
-    shard = F.when(F.col("n") > HOT, 1 + F.pmod(F.xxhash64("doc", "twin"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0).cast("long"))
-    runs = runs.groupBy("doc", "twin").agg(F.collect_set(F.struct("anchor", "run", shard.alias("shard"))).alias("runs")).join(copies, ["doc", "twin"], "left_anti")
-    strings = docs.join(runs, ["doc", "twin"]).mapInArrow(_strings(length), STRINGS)
+    shard = F.when(F.col("n") > HOT, 1 + F.pmod(F.hash("key").cast("long"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0).cast("long"))
+    runs = runs.groupBy("key").agg(F.collect_set(F.struct("run", shard.alias("shard"))).alias("runs")).join(copies.select(key), "key", "left_anti")
+    strings = packed(docs.select(key, "doc", "twin", "text")).join(runs, "key").select("doc", "twin", "z", "runs").mapInArrow(_strings(length), STRINGS)
     first = cut(_in_buckets(strings, length))
     second = _in_buckets(first.where("start IS NULL").withColumn("shard", F.lit(0).cast("long")), length)
     columns = ("doc", "twin", "start", "size")
@@ -300,7 +311,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = text_bytes(batch.column("text"))
+        texts = unpacked(batch.column("z"))
+        data, at = text_bytes(texts)
         total, runs, kept = [], [], []
         for i, spans in enumerate(batch.column("spans").to_pylist()):
             text = data[at[i] : at[i + 1]]
@@ -319,7 +331,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = pa.array(kept, pa.binary())
         size = np.array(total, np.int64)
         lost = size - np.array([len(k) for k in kept], np.int64)
-        yield pa.record_batch([batch.column("row"), pa.array(size), pa.array(lost), pa.array(runs, pa.int64()), left], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+        row = batch.column("row")
+        names = [f.name for f in row.type]
+        row = pa.StructArray.from_arrays([texts if k == "text" else row.field(i) for i, k in enumerate(names)], names)
+        yield pa.record_batch([row, pa.array(size), pa.array(lost), pa.array(runs, pa.int64()), left], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -335,7 +350,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = keyed(docs)
     marks = cut(repeated_spans(rows, length)).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return rows.join(marks, ["doc", "twin"], "left").select("row", "text", "spans").mapInArrow(_removed, schema)
+    own = packed(rows.select("doc", "twin", "row", "own"), "own")
+    return own.join(marks, ["doc", "twin"], "left").select("row", "z", "spans").mapInArrow(_removed, schema)
 
 
 def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
