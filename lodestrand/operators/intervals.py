@@ -78,8 +78,9 @@ def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     q = queries.select("chrom", "pos", F.lit(None).cast("bigint").alias("point"), F.struct(*extra).alias("__q") if extra else F.struct(F.lit(1).alias("x")).alias("__q"), F.lit(1).alias("kind"))
     p = points.select("chrom", F.col("point").alias("pos"), "point", F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.lit(0).alias("kind")).distinct()
     up = Window.partitionBy("chrom").orderBy("pos", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("chrom").orderBy("pos", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    both = q.unionByName(p).select("*", F.last("point", True).over(up).alias("left"), F.first("point", True).over(down).alias("right")).where("kind = 1")
+    # the reverse order, so that this frame grows too: a frame that shrinks is summed anew for every row
+    down = Window.partitionBy("chrom").orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = q.unionByName(p).select("*", F.last("point", True).over(up).alias("left"), F.last("point", True).over(down).alias("right")).where("kind = 1")
     take_left = F.col("right").isNull() | (F.col("pos") - F.col("left") <= F.col("right") - F.col("pos"))
     point = F.when(F.col("left").isNotNull() & take_left, F.col("left")).otherwise(F.col("right"))
     return both.select("chrom", "pos", *(F.col(f"__q.{c}") for c in extra), point.alias("point"), (point - F.col("pos")).alias("distance"))

@@ -87,8 +87,8 @@ def interpolated(curve: DataFrame, by: list[str], grid: DataFrame) -> DataFrame:
     groups = curve.select(*by).distinct().crossJoin(F.broadcast(grid))  # groups x a fixed grid is the result's own size
     both = curve.select(*by, "x", "y", F.lit(0).alias("__k")).unionByName(groups.select(*by, F.col("g").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("__k")))
     point = F.when(F.col("__k") == 0, F.struct("x", "y"))
-    w = Window.partitionBy(*by).orderBy("x", "__k", "y")
-    a, b = F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up, down = (Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("x", "__k", "y"), (F.desc("x"), F.desc("__k"), F.desc("y"))))
+    a, b = F.last(point, True).over(up), F.last(point, True).over(down)
     r = both.select(*by, "x", "__k", a.alias("a"), b.alias("b")).where("__k = 1")
     part = F.try_divide(F.col("x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
     y = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("x") == F.col("a.x")), F.col("a.y")).otherwise(F.col("a.y") + part * (F.col("b.y") - F.col("a.y")))
