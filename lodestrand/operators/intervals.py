@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 KEY, START, END = "chrom", "start", "end"
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bin_width: int, closed: bool = False, kind: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, bin_width: int, closed: bool = False) -> DataFrame:
     """Pairs of left(chrom, start, end, ...) and right that overlap; right's columns get the suffix _b.
 
     Half-open intervals, or closed ones. Each side is filed under the bins that it touches and met by (chrom, bin), so a
     long chromosome is dealt out over its bins; a pair is emitted in the bin of its larger start only, without a distinct.
-    kind 'left' keeps left rows without a partner. Empty and null intervals overlap nothing.
+    Empty and null intervals overlap nothing.
     """
     more = 0 if closed else 1
     right = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns))
@@ -24,10 +24,8 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_width: int, closed: bool
 
     meets = (F.col("start") <= F.col("end_b") - more) & (F.col("start_b") <= F.col("end") - more)
     first = F.floor(F.greatest("start", "start_b") / bin_width)
-    a = left.withColumn("__id", F.monotonically_increasing_id()) if kind == "left" else left
-    pairs = filed(a, START, END).alias("l").join(filed(right, "start_b", "end_b").alias("r"), (F.col("l.chrom") == F.col("r.chrom_b")) & (F.col("l.__bin") == F.col("r.__bin")) & meets & (F.col("l.__bin") == first))
-    pairs = pairs.select(*(F.col(f"l.{c}") for c in a.columns), *(F.col(f"r.{c}") for c in right.columns))
-    return pairs
+    pairs = filed(left, START, END).alias("l").join(filed(right, "start_b", "end_b").alias("r"), (F.col("l.chrom") == F.col("r.chrom_b")) & (F.col("l.__bin") == F.col("r.__bin")) & meets & (F.col("l.__bin") == first))
+    return pairs.select(*(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in right.columns))
 
 
 def overlap_flag(left: DataFrame, right: DataFrame, key: list[str], bin_width: int, closed: bool = False) -> DataFrame:
