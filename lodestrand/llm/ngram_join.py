@@ -23,6 +23,8 @@ FREQUENT, LOCAL = 48, 4
 BAND = 1.25
 #: Rows of one tile; a larger bucket is dealt out to tiles by pairs of blocks of this size.
 TILE_ROWS = 4096
+#: Words of bitmaps that are compared at once.
+PAIR_WORDS = 1 << 18
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -184,37 +186,91 @@ def _exact(threshold: Fraction):
     return run
 
 
-def _tile(threshold: Fraction):
-    """Rows of one tile, bands k (home) and above (guests): pairs of different components whose bitmaps allow a link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        comp = table.column("comp").to_numpy()
-        name = table.column("cls").to_numpy()
-        part, home = table.column("part").to_numpy(), table.column("home").to_numpy()
-        raw = table.column("bits").to_pylist()
-        words = min(len(x) for x in raw) // 8
-        flat = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in raw])
-        a, b = [], []
-        first, last = int(part.min()), int(part.max())
-        for i in np.flatnonzero(home):
-            other = (comp != comp[i]) & (np.minimum(n, n[i]) * threshold.denominator >= np.maximum(n, n[i]) * threshold.numerator)
-            other &= np.where(home, name > name[i], True)
-            if first != last:  # a tile of two blocks has the pairs between them only
-                other &= part != part[i]
-            at = np.flatnonzero(other)
-            if len(at):
-                more = n[i] - np.bitwise_count(flat[i] & ~flat[at]).sum(1, dtype=np.int64)
-                less = n[at] - np.bitwise_count(flat[at] & ~flat[i]).sum(1, dtype=np.int64)
-                at = at[np.minimum(more, less) * (threshold.denominator + threshold.numerator) >= threshold.numerator * (n[i] + n[at])]
-                a.append(np.full(len(at), name[i]))
-                b.append(name[at])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _folds(flat: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """One row for each bitmap flat[start : start + size], folded to `words` words."""
+    out = np.zeros((len(start), words), np.uint64)
+    for k in range(0, int(size.max(initial=0)), words):
+        on = np.flatnonzero(size > k)
+        out[on] |= flat[start[on, None] + k + np.arange(words)]
+    return out
+
+
+def _allowed(threshold: Fraction, flat: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have bitmaps that allow a link, see `bound`."""
+    ok = np.zeros(len(i), bool)
+    words = np.minimum(size[i], size[j])
+    for w in np.unique(words):
+        same = np.flatnonzero(words == w)
+        step = max(1, PAIR_WORDS // int(w))
+        for at in (same[k : k + step] for k in range(0, len(same), step)):
+            p, q = i[at], j[at]
+            x, y = _folds(flat, start[p], size[p], w), _folds(flat, start[q], size[q], w)
+            most = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            ok[at] = most * (threshold.denominator + threshold.numerator) >= threshold.numerator * (n[p] + n[q])
+    return ok
+
+
+def _tiles(threshold: Fraction):
+    """Of rows in order of tile (tok, k, p, q) and n, the pairs of different components in a tile whose bitmaps allow a link.
+
+    A tile has the rows at home in band k and guests from above; a pair needs one at home. All tiles of a batch go
+    together: step d compares each row with the d-th after it, as long as that is in its tile and near in size.
+    """
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        tok, k, p, q, name, n, comp, part, home = (table.column(c).to_numpy() for c in ("tok", "k", "p", "q", "cls", "n", "comp", "part", "home"))
+        column = table.column("bits").combine_chunks().cast(pa.large_binary())
+        _, offsets, raw = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] >> 3
+        flat, start, size = np.frombuffer(raw, np.uint64, raw.size >> 3), at[:-1], np.diff(at)
+        edge = np.append(np.flatnonzero(_moved(tok, k, p, q)), len(tok))
+        stop = np.repeat(edge[1:], np.diff(edge))
+        split = p != q  # a tile of two blocks has the pairs between them only
+        found: list[np.ndarray] = []
+        left, right, waiting, d = [], [], 0, 0
+        row = np.arange(len(tok))
+        while len(row):
+            d += 1
+            row = row[row + d < stop[row]]
+            row = row[n[row + d] * threshold.numerator <= n[row] * threshold.denominator]
+            other = row + d
+            meet = (comp[row] != comp[other]) & (home[row] | home[other]) & (~split[row] | (part[row] != part[other]))
+            left.append(row[meet])
+            right.append(other[meet])
+            waiting += len(left[-1])
+            if waiting > 100_000 or not len(row):
+                i, j = np.concatenate(left), np.concatenate(right)
+                ok = _allowed(threshold, flat, start, size, n, i, j)
+                a, b = name[i[ok]], name[j[ok]]
+                found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+                left, right, waiting = [], [], 0
+        a, b = (np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)).T
+        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            whole = part if whole is None else pa.concat_tables([whole, part]).combine_chunks()
+            edge = np.flatnonzero(_moved(*(whole.column(c).to_numpy() for c in ("tok", "k", "p", "q"))))
+            if len(edge) > 1:  # all but the last tile, which may go on
+                yield pairs(whole.slice(0, int(edge[-1])))
+                whole = whole.slice(int(edge[-1]))
+        if whole is not None and whole.num_rows:
+            yield pairs(whole)
 
     return run
 
 
+def _moved(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the one before in some column; the first one does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """Of pairs (a, b, met) of classes, those whose sizes and bitmaps allow a link."""
     light = classes.select("cls", "n", "bits")
@@ -279,7 +335,8 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     tiles = still.withColumn("k", F.explode(F.sequence(F.col("band") - reach, F.col("band")))).withColumn("o", F.explode(other))
     tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
     tiles = tiles.join(light.select("cls", "bits"), "cls")
-    near = tiles.groupBy("tok", "k", "p", "q").applyInArrow(_tile(threshold), "a long, b long").distinct()
+    tile = ("tok", "k", "p", "q")
+    near = tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(_tiles(threshold), "a long, b long").distinct()
     more = cut(_verified(near, classes, docs, threshold))
     linked = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
