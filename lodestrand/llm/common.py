@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow; at a task's end what it freed goes back to the system, as workers outlive tasks and stages."""
+
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return then_release
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,7 +91,7 @@ def packed(df: DataFrame, column: str = "text") -> DataFrame:
             yield pa.record_batch([*(batch.column(c) for c in others), z], names=[*others, "z"])
 
     others = [c for c in df.columns if c != column]
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in others), T.StructField("z", T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*(df.schema[c] for c in others), T.StructField("z", T.BinaryType())]))
 
 
 def unpacked(column: pa.Array) -> pa.Array:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, ready, tidy
 from .graph import components
 
 #: Hash tables, and buckets that a vector looks up in each table besides its own.
@@ -132,12 +132,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     width = classes.select(F.max(F.size("v"))).first()[0] or 2
     vertices = 2 << max(1, (width - 1).bit_length())
     polytopes = max(1, math.ceil(math.log(max(2.0, many / PER_BUCKET)) / math.log(vertices)))
-    hashes = classes.select("rep", "v").mapInArrow(_hashes(polytopes), "t int, bucket long, own boolean, rep long")
+    hashes = classes.select("rep", "v").mapInArrow(tidy(_hashes(polytopes)), "t int, bucket long, own boolean, rep long")
     own, probe = hashes.where("own").select("t", "bucket", F.col("rep").alias("x")), hashes.select("t", "bucket", F.col("rep").alias("y"))
     pairs = own.join(probe, ["t", "bucket"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     vector = classes.select("rep", "v", "n")
     pairs = pairs.join(vector.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vector.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-    links = cut(pairs.mapInArrow(_cosines(least), "a long, b long"))
+    links = cut(pairs.mapInArrow(tidy(_cosines(least)), "a long, b long"))
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = both.join(vector.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "component")

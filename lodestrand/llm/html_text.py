@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import ready, tidy
 
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -309,4 +309,4 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -
     """
     ready(pages.sparkSession)
     rows = pages.select(F.struct(*(pages[c] for c in keep)).alias("row"), pages["html"].cast("string").alias("html"))
-    return rows.mapInArrow(_rendered, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    return rows.mapInArrow(tidy(_rendered), T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, U, blocks, cut, mix, packed, ready, shingle_sets, text_bytes
+from .common import BLOCK_BYTES, blocks, cut, mix, packed, ready, shingle_sets, text_bytes, tidy, U
 from .graph import components
 
 #: Most frequent shingles that are told to every task, as 8-byte hashes (4 MB). They only set the order in which a
@@ -277,15 +277,15 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> Data
     left, right = (light.select(*(F.col(c).alias(d) for c, d in zip(light.columns, (x, f"n_{x}", f"bits_{x}")))) for x in "ab")
     p, q = threshold.numerator, threshold.denominator
     near = pairs.join(left, "a").join(right, "b").where(f"least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p}")
-    return near.mapInArrow(_bounded(threshold), "a long, b long, met long")
+    return near.mapInArrow(tidy(_bounded(threshold)), "a long, b long, met long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """Of pairs (a, b) of classes, those that link. A class's members come from the text of its smallest document."""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
     texts = packed(docs).join(sides, "doc_id").select("z", "cls", "a", "b")
-    members = texts.mapInArrow(_sides, "a long, b long, cls long, members binary")
-    return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_exact(threshold), "a long, b long")
+    members = texts.mapInArrow(tidy(_sides), "a long, b long, cls long, members binary")
+    return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(tidy(_exact(threshold)), "a long, b long")
 
 
 def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -308,11 +308,11 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(docs.mapInArrow(_profile, PROFILE))
+    base = cut(docs.mapInArrow(tidy(_profile), PROFILE))
     rows = base.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
     often = base.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id").toPandas()
     told = spark.sparkContext.broadcast(np.sort(often["id"].to_numpy(np.int64).view(np.uint64)).tobytes())
-    entries = docs.mapInArrow(_entries(told, threshold), "tok long, cls long")
+    entries = docs.mapInArrow(tidy(_entries(told, threshold)), "tok long, cls long")
     bucket = Window.partitionBy("tok")
     shared = cut(entries.withColumns({"low": F.min("cls").over(bucket), "high": F.max("cls").over(bucket)}).where("low <> high").select("tok", "cls", "low").distinct())
     classes = cut(base.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
@@ -336,7 +336,7 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
     tiles = tiles.join(light.select("cls", "bits"), "cls")
     tile = ("tok", "k", "p", "q")
-    near = tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(_tiles(threshold), "a long, b long").distinct()
+    near = tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold)), "a long, b long").distinct()
     more = cut(_verified(near, classes, docs, threshold))
     linked = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

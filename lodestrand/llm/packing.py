@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, ready, tidy
 from .tokens import encoder
 
 #: Documents encoded at once.
@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pieces(tokenizer, room, end, with_ids), PIECES + ", ids binary" * with_ids)
+    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids)), PIECES + ", ids binary" * with_ids)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import ready, tidy
 
 #: Words that a worker remembers, and words that are merged at once.
 REMEMBERED, AT_ONCE = 1_000_000, 50_000
@@ -208,10 +208,10 @@ def encode_pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
     """
     ready(docs.sparkSession)
     rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model), T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(tidy(_encode(model)), T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """(row, ids, decoded) for (row, ids): the text of the ids."""
     encoded = encoded.select("row", "ids")
-    return encoded.mapInArrow(_decode(model), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return encoded.mapInArrow(tidy(_decode(model)), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

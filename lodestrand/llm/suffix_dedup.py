@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, U, blocks, cut, mix, packed, prefix_hash, Powers, ready, text_bytes, unpacked
+from .common import BLOCK_BYTES, blocks, cut, mix, packed, Powers, prefix_hash, ready, text_bytes, tidy, U, unpacked
 
 #: Bytes of an anchor. A window of 100 bytes has 69 of them; about one position in 35 is some window's smallest.
 ANCHOR = 32
@@ -276,7 +276,7 @@ def _reduce(length: int):
 
 def _in_buckets(strings: DataFrame, length: int) -> DataFrame:
     strings = strings.select("anchor", "shard", "doc", "twin", "run", "bytes").repartition("anchor", "shard")
-    return strings.sortWithinPartitions("anchor", "shard").mapInArrow(_reduce(length), FOUND)
+    return strings.sortWithinPartitions("anchor", "shard").mapInArrow(tidy(_reduce(length)), FOUND)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -297,12 +297,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = cut(same.join(copied, ["twin", "md5", "size"]).where("doc > least").select("doc", "twin", "size").distinct())
     # one 64-bit key for (doc, twin) until the strings are cut out
     key = F.xxhash64("doc", "twin").alias("key")
-    anchors = docs.select(key, "text").mapInArrow(_anchors(length), ANCHORS)
+    anchors = docs.select(key, "text").mapInArrow(tidy(_anchors(length)), ANCHORS)
     runs = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
     # a hot bucket's strings are reduced in shards of about HOT first; what is left of them meets afterwards
     shard = F.when(F.col("n") > HOT, 1 + F.pmod(F.hash("key").cast("long"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0).cast("long"))
     runs = runs.groupBy("key").agg(F.collect_set(F.struct("run", shard.alias("shard"))).alias("runs")).join(copies.select(key), "key", "left_anti")
-    strings = packed(docs.select(key, "doc", "twin", "text")).join(runs, "key").select("doc", "twin", "z", "runs").mapInArrow(_strings(length), STRINGS)
+    strings = packed(docs.select(key, "doc", "twin", "text")).join(runs, "key").select("doc", "twin", "z", "runs").mapInArrow(tidy(_strings(length)), STRINGS)
     first = cut(_in_buckets(strings, length))
     second = _in_buckets(first.where("start IS NULL").withColumn("shard", F.lit(0).cast("long")), length)
     columns = ("doc", "twin", "start", "size")
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     marks = cut(repeated_spans(rows, length)).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     own = packed(rows.select("doc", "twin", "row", "own"), "own")
-    return own.join(marks, ["doc", "twin"], "left").select("row", "z", "spans").mapInArrow(_removed, schema)
+    return own.join(marks, ["doc", "twin"], "left").select("row", "z", "spans").mapInArrow(tidy(_removed), schema)
 
 
 def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,4 +367,4 @@ def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def readable(removed: DataFrame) -> DataFrame:
     """The documents' own columns with what is left as text (n_chars, if there, follows); of a character that a removal cut, the rest goes too."""
     schema = removed.schema["row"].dataType
-    return removed.select("row", "kept").mapInArrow(_readable, schema)
+    return removed.select("row", "kept").mapInArrow(tidy(_readable), schema)

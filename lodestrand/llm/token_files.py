@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ready, shared_dir
+from .common import cut, ready, shared_dir, tidy
 from .tokens import encoder
 
 MAGIC = 0x4C4F4445
@@ -84,7 +84,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, v
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text")).withColumn("twin", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc", "twin").sortWithinPartitions("doc", "twin").select("doc", "text")
-    shards = cut(rows.mapInArrow(_write(tokenizer, uri, width, end), SHARDS))
+    shards = cut(rows.mapInArrow(tidy(_write(tokenizer, uri, width, end)), SHARDS))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return shards.select("part", F.lit(uri).alias("uri"), "name", "documents", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
@@ -130,4 +130,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(shards: DataFrame) -> DataFrame:
     """Per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers)."""
     shards = shards.select("part", "uri", "name", "base").repartition("part")
-    return shards.mapInArrow(_read, READ)
+    return shards.mapInArrow(tidy(_read), READ)

@@ -8,6 +8,8 @@ from functools import lru_cache
 
 #: Stretches that a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_200_000
+#: Stretches encoded at once; the library's encodings are far larger than their ids.
+ENCODED = 2_000
 
 
 class _Encoder:
@@ -24,8 +26,8 @@ class _Encoder:
 
     def learn(self, keys: set, texts) -> None:
         keys = [k for k in keys if k not in self.known]
-        for i in range(0, len(keys), 20_000):
-            part = keys[i : i + 20_000]
+        for i in range(0, len(keys), ENCODED):
+            part = keys[i : i + ENCODED]
             for k, e in zip(part, self.tokenizer.encode_batch_fast(texts(part), add_special_tokens=False)):
                 self.known[k] = array(self.kind, e.ids).tobytes()
 

@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,31 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.ngram_jaccard_classes(empty).count() == 0
 
 
+def test_tiles():
+    """Pairs within tiles that span batches, with bands, split blocks, ties and bitmaps of several sizes."""
+    rnd, threshold = np.random.default_rng(5), Fraction(4, 5)
+    rows = []
+    for name in range(400):
+        n = int(rnd.integers(20, 200))
+        s = np.sort(rnd.choice(220, n, replace=False)).astype(np.uint64)
+        p = int(rnd.integers(2))
+        split = bool(rnd.integers(2))
+        rows.append((name // 40, 0, 0 if split else p, 1 if split else p, name, n, int(rnd.integers(300)), p, bool(rnd.integers(2)), ngram_join.bitmap(s).tobytes()))
+    rows.sort(key=lambda r: (*r[:4], r[5], r[4]))
+    names = ["tok", "k", "p", "q", "cls", "n", "comp", "part", "home", "bits"]
+    batches = [pa.record_batch([pa.array([r[c] for r in rows[i : i + 37]]) for c in range(10)], names=names) for i in range(0, 400, 37)]
+    got = {(a, b) for x in ngram_join._tiles(threshold)(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            near = min(x[5], y[5]) * 5 >= max(x[5], y[5]) * 4
+            if x[:4] == y[:4] and x[6] != y[6] and (x[8] or y[8]) and near and (x[2] == x[3] or x[7] != y[7]):
+                most = ngram_join.bound(np.frombuffer(x[9], np.uint64), x[5], np.frombuffer(y[9], np.uint64), y[5])
+                if 9 * most >= 4 * (x[5] + y[5]):
+                    want.add((min(x[4], y[4]), max(x[4], y[4])))
+    assert got == want and want
+
+
 def test_suffix_dedup(docs, rows, empty):
     key = lambda r: (r[0] if r[0] is not None else -(1 << 63))
     plain = [r for r in rows if rows.count(r) == 1 and [x[0] for x in rows].count(r[0]) == 1]
