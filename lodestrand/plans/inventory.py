@@ -37,7 +37,7 @@ class Tables:
 
     @property
     def peaks(self) -> DataFrame:
-        return self.spans.where("l_returnflag = 'A' AND id % 16 < 2").select("chrom", "start", "end", "id", "line")
+        return self.spans.where("l_returnflag = 'A'").select("chrom", "start", "end", "id", "line")
 
     @property
     def scored(self) -> DataFrame:
@@ -143,7 +143,7 @@ both("w3_a34_offsets", lambda t: t.spans.groupBy("chrom").agg(F.max("end").alias
 both("w4_shrinking_mean", lambda t: W.shrinking_mean(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 5).select("event_id", F.round("smooth", 6).alias("smooth")), "WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT a.event_id, round(avg(b.value), 6) AS smooth FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.i - b.i) <= least(2, a.i, a.n - 1 - a.i) GROUP BY a.event_id")
 both("w5_truncated_mean", lambda t: t.events.select("event_id", F.round(W.truncated_mean("value", Window.partitionBy("user_id").orderBy("event_id"), 2), 6).alias("smooth")), "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events")
 both("w7_islands", lambda t: W.islands(t.lineitem, ["l_suppkey"], "l_partkey"), "SELECT l_suppkey, min(v) AS first, max(v) AS last, count(*) AS n FROM (SELECT l_suppkey, v, v - row_number() OVER (PARTITION BY l_suppkey ORDER BY v) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey AS v FROM lineitem)) GROUP BY l_suppkey, k")
-both("w8_complement", lambda t: I.complement(t.peaks, t.spans.groupBy("chrom").agg(F.max("end").alias("size"))).groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("bp")), f"WITH {PEAKS}, s AS (SELECT chrom, max(\"end\") AS size FROM spans GROUP BY 1), y AS (SELECT chrom, count(*) AS n FROM ({COVERED} peaks) GROUP BY 1) SELECT chrom, size - coalesce(n, 0) AS bp FROM s LEFT JOIN y USING (chrom)")
+both("w8_complement", lambda t: (lambda sizes: sizes.join(I.complement(t.peaks, sizes), "chrom", "left").groupBy("chrom").agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bp")))(t.spans.groupBy("chrom").agg(F.max("end").alias("size"))), f"WITH {PEAKS}, s AS (SELECT chrom, max(\"end\") AS size FROM spans GROUP BY 1), y AS (SELECT chrom, count(*) AS n FROM ({COVERED} peaks) GROUP BY 1) SELECT chrom, size - coalesce(n, 0) AS bp FROM s LEFT JOIN y USING (chrom)")
 both("w10_most_in_window", lambda t: I.most_in_window(t.spans.select("chrom", F.floor((F.col("start") + F.col("end")) / 2).alias("mid")), 50), f"WITH {SPANS}, m AS (SELECT chrom, (start + \"end\") // 2 AS mid FROM spans) SELECT chrom, max(n) AS most FROM (SELECT chrom, count(*) OVER (PARTITION BY chrom ORDER BY mid RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM m) GROUP BY 1")
 both("w16_tiles", lambda t: I.tiles(t.documents.select(F.col("doc_id").alias("chrom"), F.length("text").cast("bigint").alias("size")), 256, 128, 32), "SELECT doc_id AS chrom, s AS start, s + 256 AS \"end\" FROM (SELECT doc_id, unnest(range(32, length(text) - 32 - 256 + 1, 128)) AS s FROM documents)")
 both("w17_w19_relative", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / F.max("l_quantity").over(Window.partitionBy("l_suppkey")), 8).alias("rel"), F.round(F.col("l_quantity") / F.avg(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).over(Window.partitionBy("l_suppkey")), 8).alias("fold")), "SELECT l_orderkey, l_linenumber, round(l_quantity / max(l_quantity) OVER (PARTITION BY l_suppkey), 8) AS rel, round(l_quantity / avg(CASE WHEN l_linenumber = 1 THEN l_quantity END) OVER (PARTITION BY l_suppkey), 8) AS fold FROM lineitem")
