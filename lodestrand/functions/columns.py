@@ -1,8 +1,8 @@
-"""Scalar, DNA and track functions as Column expressions; none leaves the JVM."""
+"""Scalar, DNA and track functions as Column expressions (single_mutants over rows); none leaves the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The roman numerals of the sixteen chromosomes.
@@ -107,11 +107,14 @@ def substitute(seq: Column, offset: Column, alt: Column, ref_length: Column) ->
     return F.overlay(seq, alt, offset + 1, ref_length)
 
 
-def single_mutants(seq: Column) -> Column:
-    """An array of (pos, ref, alt, mutant), three for each of ACGT in seq (Q10)."""
-    at = F.sequence(F.lit(0), F.length(seq) - 1)
-    each = F.transform(at, lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.struct(i.alias("pos"), F.substring(seq, i + 1, F.lit(1)).alias("ref"), b.alias("alt"), F.overlay(seq, b, i + 1, F.lit(1)).alias("mutant"))))
-    return F.filter(F.flatten(each), lambda x: x["ref"].isin(*"ACGT") & (x["ref"] != x["alt"]))
+def single_mutants(df: DataFrame, seq: str) -> DataFrame:
+    """df with pos, ref, alt and mutant, three rows for each of ACGT in the column seq (Q10).
+
+    Mutants of one sequence take its length squared, so they are made row by row and never held together.
+    """
+    at = df.where(F.length(seq) > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length(seq) - 1))).withColumn("ref", F.substring(F.col(seq), F.col("pos") + 1, F.lit(1)))
+    each = at.where(F.col("ref").isin(*"ACGT")).withColumn("alt", F.explode(F.array(*map(F.lit, "ACGT")))).where("alt <> ref")
+    return each.withColumn("mutant", F.overlay(F.col(seq), F.col("alt"), F.col("pos") + 1, F.lit(1)))
 
 
 def fetch(seq: Column, start: Column, end: Column) -> Column:

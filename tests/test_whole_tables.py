@@ -32,3 +32,25 @@ def test_interval_queries_are_found():
 def test_intervals_read_every_peak(spark, name):
     df = inventory.QUERIES[name](spark, SF)
     assert rows(df.columns, df.collect()) == whole(inventory.ORACLES[name].replace(" AND id % 16 < 2", ""))
+
+
+@pytest.mark.parametrize("name", ["q1_reverse_complement", "q2_one_hot"])
+def test_texts_are_whole(spark, name):
+    df = inventory.QUERIES[name](spark, SF)
+    assert rows(df.columns, df.collect()) == whole(inventory.ORACLES[name].replace("substr(text, 1, 60)", "text"))
+
+
+def test_positional_join_has_every_position(spark):
+    df = inventory.QUERIES["j22_positional_join"](spark, SF)
+    assert df.count() == 64
+    assert rows(df.columns, df.collect()) == whole(inventory.ORACLES["j22_positional_join"].replace("BETWEEN 1 AND 3", "BETWEEN 1 AND 64"))
+
+
+def test_mutants_of_whole_texts(spark, tmp_path):
+    texts = [(1, "the quick brown fox, and Ünder the line" * 3), (2, "eta"), (3, ""), (4, None), (5, "xyz"), (6, "e")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for i, t in texts:
+        s = (t or "").translate(str.maketrans("etaoinshrdluETAOINSHRDLU", "ACGT" * 6))
+        want.update((i, k, c, b, s[:k] + b + s[k + 1 :]) for k, c in enumerate(s) if c in "ACGT" for b in "ACGT" if b != c)
+    assert Counter(tuple(r) for r in inventory.QUERIES["q10_mutants"](spark, str(tmp_path)).select("doc_id", "pos", "ref", "alt", "mutant").collect()) == want
