@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, in
     return slots
 
 
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
@@ -71,6 +73,7 @@ def _pieces(path: str, room: int, end: int, with_ids: bool):
         part, ranks = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         codec = encoder("bytes", path, 4)
         tail = np.array([end], "<u4").tobytes()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
             for i in range(0, batch.num_rows, BATCH):
@@ -82,27 +85,36 @@ def _pieces(path: str, room: int, end: int, with_ids: bool):
                     while at < n:
                         size = (n - at) % room or room
                         own = made[4 * at : 4 * (at + size)]
-                        rows.append((doc, piece, at, size, zlib.crc32(own), part, int(ranks[size]), *([own] if with_ids else [])))
+                        rows.append((doc, piece, at, size, zlib.crc32(own), part, int(ranks[size]), *([pack(own)] if with_ids else [])))
                         ranks[size] += 1
                         at, piece = at + size, piece + 1
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                columns = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local", "ids"][: 7 + with_ids]
+                columns = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local", "z"][: 7 + with_ids]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns)
 
     return run
 
 
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, z, becomes ids."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        ids = pa.array([unpack(z) for z in batch.column("z").to_pylist()], pa.binary())
+        yield pa.record_batch([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of docs(doc_id, text): ids of the text and the end id, cut into `room` ids if there are more; the first piece is the short one.
 
-    part and local rank a piece among those of its length in its task. A null text is empty (one end id).
+    part and local rank a piece among those of its length in its task. A null text is empty (one end id). with_ids: z has the
+    piece's ids, little-endian unsigned 32-bit, as zstd for the way.
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids)), PIECES + ", ids binary" * with_ids)
+    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids)), PIECES + ", z binary" * with_ids)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True) -> DataFrame:
     """Every piece of docs(doc_id, text) with its sequence_id and offset there; with_ids: and its ids, little-endian unsigned 32-bit.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Sequences hold `room` ids at most, without
@@ -119,7 +131,8 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int =
     slots = spark.createDataFrame(plan(counts, room), "length long, low long, high long, first long, places long, at long")
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
     placed = ranked.join(F.broadcast(slots), "length").where("rank >= low AND rank < high")  # the plan's size is bound by `room`
-    return placed.select(
+    out = placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("places"))).alias("sequence_id"),
-        (F.col("at") + F.pmod(F.col("rank") - F.col("low"), F.col("places")) * F.col("length")).alias("offset"), *(["ids"] if with_ids else []),
+        (F.col("at") + F.pmod(F.col("rank") - F.col("low"), F.col("places")) * F.col("length")).alias("offset"), *(["z"] if with_ids else []),
     )
+    return out.mapInArrow(tidy(_with_ids), PLACED) if with_ids else out

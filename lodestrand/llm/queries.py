@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    placed = packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

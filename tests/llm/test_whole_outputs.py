@@ -1,0 +1,40 @@
+"""Results that hold what they are made for: packed ids, and every text that no link joins."""
+
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from lodestrand.llm import packing, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_packed_result_of_the_pipeline_has_the_texts(spark):
+    import corpus_pipeline
+
+    texts = [(i, " ".join(f"w{j * j} über" for j in range(40 * i))) for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, SF).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sequences = defaultdict(dict)
+    for r in out:
+        sequences[r["sequence_id"]][r["offset"]] = np.frombuffer(r["ids"], "<u4")
+    whole = {k: np.concatenate([v[o] for o in sorted(v)]) for k, v in sequences.items()}
+    assert all(len(x) <= 1024 for x in whole.values())
+    for doc, text in texts:
+        own = sorted((r["piece"], r["sequence_id"], r["offset"], r["length"]) for r in out if r["doc_id"] == doc)
+        got = np.concatenate([whole[s][o : o + n] for _, s, o, n in own]).tolist()
+        assert got == [*t.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_checksums_are_of_the_packed_ids(spark, monkeypatch):
+    pack = packing.best_fit_pack
+    # ids that are lost on the way must show in the query's checksums
+    monkeypatch.setattr(packing, "best_fit_pack", lambda *a, **k: pack(*a, **k).selectExpr("* EXCEPT (ids)", "cast('' as binary) AS ids"))
+    assert {r["ids_crc32"] for r in queries.op1_best_fit_packing(spark, SF).select("ids_crc32").distinct().collect()} == {0}
+    monkeypatch.undo()
+    a = sorted(map(tuple, queries.op1_best_fit_packing(spark, SF).select("doc_id", "piece", "ids_crc32").collect()))
+    b = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pack(queries.table(spark, SF, "documents"), queries.tokenizer("byte_bpe_50k.json"), with_ids=False).collect())
+    assert a == b
