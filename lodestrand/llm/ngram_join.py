@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLOCK_BYTES, blocks, cut, mix, packed, ready, shingle_sets, text_bytes, tidy, U
 from .graph import components
@@ -288,23 +289,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(tidy(_exact(threshold)), "a long, b long")
 
 
-def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id. Other columns of docs aren't read.
-
-    A text's words are split at ASCII white space and A-Z is folded; its set holds the 64-bit hashes of its 5-word
-    shingles, or of the whole sequence if it has fewer words. Rows link at a Jaccard similarity of `threshold` or
-    more; component_id is the smallest doc_id that links reach. Empty or null texts link with nothing and keep their
-    own id. A null doc_id never names a component: it has that of its copies, and rows with a null doc_id and no copy
-    with an id link with nothing and have null. Repeated rows are
-    rows of their own, in one component. An empty table gives an empty result.
-
-    1. A pass gives each row's set a class, so that copies are one from here on, and the frequent shingles.
-    2. Prefixes (see `prefix`) meet by shingle. Each bucket's smallest class is paired with the others (a star, not
-       all pairs); bitmaps bound the pairs, and each class's best one is intersected. What links is joined into
-       components, so large groups of near copies fall together.
-    3. Buckets that still hold more than one component go to tiles by size band, where all pairs between different
-       components are bounded by bitmaps; those that may link are intersected. So no link between components is lost.
-    """
+def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """See ngram_jaccard_classes: rows (doc_id, n_shingles, cls) and classes (cls, rep, component); rep is the smallest doc_id of the class."""
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -340,14 +326,53 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     more = cut(_verified(near, classes, docs, threshold))
     linked = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return rows, named
+
+
+def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id. Other columns of docs aren't read.
+
+    A text's words are split at ASCII white space and A-Z is folded; its set holds the 64-bit hashes of its 5-word
+    shingles, or of the whole sequence if it has fewer words. Rows link at a Jaccard similarity of `threshold` or
+    more; component_id is the smallest doc_id that links reach. Empty or null texts link with nothing and keep their
+    own id. A null doc_id never names a component: it has that of its copies, and rows with a null doc_id and no copy
+    with an id link with nothing and have null. Repeated rows are
+    rows of their own, in one component. An empty table gives an empty result.
+
+    1. A pass gives each row's set a class, so that copies are one from here on, and the frequent shingles.
+    2. Prefixes (see `prefix`) meet by shingle. Each bucket's smallest class is paired with the others (a star, not
+       all pairs); bitmaps bound the pairs, and each class's best one is intersected. What links is joined into
+       components, so large groups of near copies fall together.
+    3. Buckets that still hold more than one component go to tiles by size band, where all pairs between different
+       components are bounded by bitmaps; those that may link are intersected. So no link between components is lost.
+    """
+    rows, named = _joined(docs, threshold)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With each text's class as __cls; null for a text without words."""
+    for batch, i, sets in _sets(batches):
+        yield pa.record_batch([*batch.slice(i, len(sets)).columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=[*batch.schema.names, "__cls"])
+
+
 def keep_one_of_each(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; rows with a null doc_id stay; of repeated ids one row."""
-    kept = ngram_jaccard_classes(docs, threshold).where("component_id = doc_id").select("doc_id").distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    ranked = own.withColumn("__one", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return ranked.where("__one = 1").drop("__one").unionByName(docs.where("doc_id IS NULL"))
+    """Of each component one row of docs: that of the smallest doc_id, then of the smallest class of texts.
+
+    So unlike texts under one doc_id all stay, and copies without a doc_id fall together, to those with one if there are
+    any. Of rows with the chosen doc_id and class that of the smallest hash of the text stays. Texts without words link
+    with nothing and all stay.
+    """
+    _, named = _joined(docs, threshold)
+    chosen = named.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "cls")).alias("one"))
+    chosen = cut(chosen.select(F.col("one.rep").alias("__rep"), F.col("one.cls").alias("__cls")))
+    texts = docs.withColumns({"text": F.col("text").cast("string"), "__rep": F.col("doc_id").cast("long")})
+    own = texts.mapInArrow(tidy(_named), T.StructType([*texts.schema, T.StructField("__cls", T.LongType())]))
+    with_id = own.where("__rep IS NOT NULL").join(chosen, ["__rep", "__cls"], "left_semi")
+    # partial minima before the join: all copies without an id have one key
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("one")
+    without = own.where("__rep IS NULL AND __cls IS NOT NULL").groupBy("__cls").agg(least).join(chosen.where("__rep IS NULL"), "__cls", "left_semi")
+    one = with_id.groupBy("__rep", "__cls").agg(least).select("one.*").unionByName(without.select("one.*"))
+    return one.unionByName(own.where("__cls IS NULL").select(*docs.columns))

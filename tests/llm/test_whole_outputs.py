@@ -1,12 +1,12 @@
 """Results that hold what they are made for: packed ids, and every text that no link joins."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lodestrand.llm import packing, queries
+from lodestrand.llm import ngram_join, packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,15 @@ def test_checksums_are_of_the_packed_ids(spark, monkeypatch):
     a = sorted(map(tuple, queries.op1_best_fit_packing(spark, SF).select("doc_id", "piece", "ids_crc32").collect()))
     b = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pack(queries.table(spark, SF, "documents"), queries.tokenizer("byte_bpe_50k.json"), with_ids=False).collect())
     assert a == b
+
+
+def test_no_text_is_lost_with_its_id(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    near = lambda k: text(k) + " more"
+    keep = [(3, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (9, text("e")), (None, text("f")), (None, text("g")), (10, ""), (None, None)]
+    drop = [(7, near("a")), (9, text("e")), (None, text("g")), (None, text("g")), (None, text("a")), (11, near("c")), (12, near("d")), (13, text("b"))]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for k in range(8) for r in [*keep, *drop][k::8]], "doc_id long, text string, n_chars long")
+    out = ngram_join.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(keep)
+    assert ngram_join.keep_one_of_each(docs.limit(0)).count() == 0
