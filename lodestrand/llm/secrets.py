@@ -25,6 +25,7 @@ class Rule:
     """Matches of pattern are spans of `kind` if `group` of them has `least` characters or more.
 
     quick: a pattern that texts with such spans match, and fewer others than match `pattern`.
+    rest: what a span takes in after `pattern`, in Java's syntax; it matches the empty string too.
     """
 
     kind: str
@@ -33,14 +34,22 @@ class Rule:
     least: int = 0
     base: bool = False
     quick: str = ""
+    rest: str = ""
 
 
+#: A line's end, as it is or written as \\n in a string.
+END_OF_LINE = r"(?:[\x20\t\r]*+\n[\x20\t]*+|(?:\\r)?\\n)"
+#: After a key's first line: all up to its last line, if no other marker is before; else headers and base64 lines, as far as they go.
+KEY_BODY = (
+    r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{END_OF_LINE}++[A-Za-z-]++:[^\n]*+)*+(?:{END_OF_LINE}++[A-Za-z0-9+/]{{32,}}+={{0,2}})++(?:{END_OF_LINE}[A-Za-z0-9+/]++={{0,2}}(?=\s|\z))?|)"
+)
 #: Fixed formats. The first three are the base; in assign, the letters of the name are in either case.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"[0-9a-f]+", 0, 32, True, "[0-9a-f]{32}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", rest=KEY_BODY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -130,10 +139,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def spans(text: Column, rule: Rule) -> Column:
     """The rule's matches in text, leftmost and apart, as (kind, from, to, order) in code points."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.pattern + rule.rest)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     each = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), F.length(h).alias("h"))), kept, lambda x, k: F.struct(x["g"].alias("g"), x["h"].alias("h"), F.length(k).alias("k")))
     each = F.filter(each, lambda x: x["h"].isNotNull())
     none = F.expr("CAST(array() AS array<struct<a: int, b: int, k: int>>)")
