@@ -7,12 +7,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, blocks, cut, mix, packed, ready, shingle_sets, text_bytes, tidy, U
+from .common import BLOCK_BYTES, blocks, cut, mix, packed, ready, shingle_sets, text_bytes, tidy, U, unpacked
 from .graph import components
 
 #: Most frequent shingles that are told to every task, as 8-byte hashes (4 MB). They only set the order in which a
@@ -22,8 +21,16 @@ MOST_FREQUENT = 500_000
 FREQUENT, LOCAL = 48, 4
 #: Ratio of the sizes in one band; two sets that link differ by 1 / threshold at most, so by few bands.
 BAND = 1.25
+#: Classes in a bucket from which it is hot, as one with a frequent shingle is: stars join what they can of it first.
+HOT_ROWS = 64
+#: Star rounds at most, and the part of a round's pairs that must link for one more.
+ROUNDS, WORTH = 8, 0.05
+#: Tasks that the rows of one frequent shingle are dealt out to, and pairs of a class that one task verifies.
+SALTS, GROUP = 64, 512
 #: Rows of one tile; a larger bucket is dealt out to tiles by pairs of blocks of this size.
 TILE_ROWS = 4096
+#: Pairs that a tile holds before they go on.
+HELD_PAIRS = 500_000
 #: Words of bitmaps that are compared at once.
 PAIR_WORDS = 1 << 18
 
@@ -105,12 +112,17 @@ def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> np.ndarr
     return s[:keep]
 
 
+ENTRIES = "tok long, cls long, n int, told boolean"
+
+
 def _entries(frequent, threshold: Fraction):
+    """The prefix of each class that a task meets; told: the shingle is a frequent one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequent.value, np.uint64)
         seen: set[int] = set()  # classes that this task has dealt with, of the last million
         for _, _, sets in _sets(batches):
-            tokens, names, lengths = [], [], []
+            tokens, names, lengths, sizes = [], [], [], []
             for s in sets:
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
@@ -118,75 +130,75 @@ def _entries(frequent, threshold: Fraction):
                     tokens.append(p)
                     names.append(c)
                     lengths.append(len(p))
+                    sizes.append(len(s))
             if len(seen) > 1_000_000:
                 seen.clear()
             if tokens:
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), lengths))], names=["tok", "cls"])
+                tok = np.concatenate(tokens)
+                told = often[np.minimum(np.searchsorted(often, tok), len(often) - 1)] == tok if len(often) else np.zeros(len(tok), bool)
+                yield pa.record_batch([pa.array(tok.view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(told)], names=["tok", "cls", "n", "told"])
 
     return run
 
 
-def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (z, cls, a, b) the members of the text's set, where its class is cls. Rows of one text come together."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    last, members, own = None, b"", 0
-    for batch in batches:
-        keep, out = [], []
-        for i, (z, cls) in enumerate(zip(batch.column("z").to_pylist(), batch.column("cls").to_pylist())):
-            if z != last:
-                raw = np.frombuffer(unpack(z) if z else b"", np.uint8)
-                s = shingle_sets(raw, np.array([0, len(raw)]))[0]
-                last, members, own = z, s.tobytes(), class_of(s) if len(s) else None
-            if own == cls:
-                keep.append(i)
-                out.append(members)
-            if len(out) >= 512:
-                at = pa.array(keep, pa.int64())
-                yield pa.record_batch([batch.column(k).take(at) for k in ("a", "b", "cls")] + [pa.array(out, pa.binary())], names=["a", "b", "cls", "members"])
-                keep, out = [], []
-        at = pa.array(keep, pa.int64())
-        yield pa.record_batch([batch.column(k).take(at) for k in ("a", "b", "cls")] + [pa.array(out, pa.binary())], names=["a", "b", "cls", "members"])
-
-
 def _bounded(threshold: Fraction):
-    """Of pairs (a, n_a, bits_a, b, n_b, bits_b, met), those whose bitmaps allow a link."""
+    """Of pairs (a, n_a, bits_a, b, n_b, bits_b), those whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, n_a, x, b, n_b, y = (batch.column(k) for k in ("a", "n_a", "bits_a", "b", "n_b", "bits_b"))
-            keep = []
-            for i, (na, nb, xi, yi) in enumerate(zip(n_a.to_pylist(), n_b.to_pylist(), x, y)):
-                o = bound(np.frombuffer(xi.as_buffer(), np.uint64), na, np.frombuffer(yi.as_buffer(), np.uint64), nb)
-                if o * (threshold.denominator + threshold.numerator) >= threshold.numerator * (na + nb):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([a.take(at), b.take(at), batch.column("met").take(at)], names=["a", "b", "met"])
+            rows = batch.num_rows
+            parts = [_words(batch.column(k)) for k in ("bits_a", "bits_b")]
+            flat = np.concatenate([p[0] for p in parts])
+            start = np.concatenate((parts[0][1], parts[1][1] + len(parts[0][0])))
+            size = np.concatenate([p[2] for p in parts])
+            n = np.concatenate([batch.column(k).to_numpy() for k in ("n_a", "n_b")])
+            i = np.arange(rows)
+            keep = pa.array(_allowed(threshold, flat, start, size, n, i, i + rows))
+            yield pa.record_batch([batch.column(k).filter(keep) for k in ("a", "b")], names=["a", "b"])
 
     return run
 
 
 def _exact(threshold: Fraction):
-    """Of sides (a, b, cls, members) in order of (a, b), the pairs that link: sorted arrays are intersected."""
+    """Of groups in order of (a, part): rows of a's text (b is null) and of texts of classes b, the pairs that link.
+
+    Sorted arrays are intersected. Texts whose class isn't the one that is looked for (another row of the same doc_id) go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, first = None, (0, b"")
+        group, own = None, None
         for batch in batches:
+            texts = unpacked(batch.column("z"))
+            a, part, b = (batch.column(k).to_pylist() for k in ("a", "part", "b"))
+            data, at = text_bytes(texts)
             out = []
-            for a, b, cls, members in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "cls", "members"))):
-                if (a, b) != pair:
-                    pair, first = (a, b), (cls, members)
-                elif first and cls != first[0]:
-                    p, q = sorted((np.frombuffer(first[1], np.uint64), np.frombuffer(members, np.uint64)), key=len)
-                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    o = int((q[at] == p).sum())
-                    if threshold.denominator * o >= threshold.numerator * (len(p) + len(q) - o):
-                        out.append((a, b))
-                    first = None  # a repeated row's side comes again
-            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for i, j in blocks(at, BLOCK_BYTES // 2):
+                for k, s in enumerate(shingle_sets(data, at[i : j + 1]), i):
+                    if (a[k], part[k]) != group:
+                        group, own = (a[k], part[k]), None
+                    if not len(s) or class_of(s) != (a[k] if b[k] is None else b[k]):
+                        continue
+                    if b[k] is None:
+                        own = s
+                    elif own is not None:
+                        p, q = sorted((own, s), key=len)
+                        o = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                        if threshold.denominator * o >= threshold.numerator * (len(p) + len(q) - o):
+                            out.append((a[k], b[k]))
+            yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit words of a column of bitmaps, and each one's start and size in words."""
+    column = column.cast(pa.large_binary())
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] >> 3
+    flat = np.frombuffer(raw, np.uint64, raw.size >> 3) if raw is not None else np.zeros(0, np.uint64)
+    return flat, at[:-1], np.diff(at)
+
+
 def _folds(flat: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
     """One row for each bitmap flat[start : start + size], folded to `words` words."""
     out = np.zeros((len(start), words), np.uint64)
@@ -211,42 +223,45 @@ def _allowed(threshold: Fraction, flat: np.ndarray, start: np.ndarray, size: np.
     return ok
 
 
-def _tiles(threshold: Fraction):
-    """Of rows in order of tile (tok, k, p, q) and n, the pairs of different components in a tile whose bitmaps allow a link.
+def _tiles(threshold: Fraction, signed: bool):
+    """Of rows in order of tile (tok, k, p, q) and n, the pairs of different components in a tile, and in how many tiles they met.
 
     A tile has the rows at home in band k and guests from above; a pair needs one at home. All tiles of a batch go
-    together: step d compares each row with the d-th after it, as long as that is in its tile and near in size.
+    together: step d compares each row with the d-th after it, as long as that is in its tile and near in size. signed:
+    rows carry bitmaps, and pairs whose bitmaps don't allow a link go here.
     """
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+    def counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        edge = np.append(np.flatnonzero(_moved(low, high)), len(low))
+        return pa.record_batch([pa.array(low[edge[:-1]]), pa.array(high[edge[:-1]]), pa.array(np.diff(edge))], names=["a", "b", "met"])
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tok, k, p, q, name, n, comp, part, home = (table.column(c).to_numpy() for c in ("tok", "k", "p", "q", "cls", "n", "comp", "part", "home"))
-        column = table.column("bits").combine_chunks().cast(pa.large_binary())
-        _, offsets, raw = column.buffers()
-        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] >> 3
-        flat, start, size = np.frombuffer(raw, np.uint64, raw.size >> 3), at[:-1], np.diff(at)
+        flat, start, size = _words(table.column("bits").combine_chunks()) if signed else (None,) * 3
         edge = np.append(np.flatnonzero(_moved(tok, k, p, q)), len(tok))
         stop = np.repeat(edge[1:], np.diff(edge))
         split = p != q  # a tile of two blocks has the pairs between them only
-        found: list[np.ndarray] = []
-        left, right, waiting, d = [], [], 0, 0
-        row = np.arange(len(tok))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held, d, row = 0, 0, np.arange(len(tok))
         while len(row):
             d += 1
             row = row[row + d < stop[row]]
             row = row[n[row + d] * threshold.numerator <= n[row] * threshold.denominator]
             other = row + d
             meet = (comp[row] != comp[other]) & (home[row] | home[other]) & (~split[row] | (part[row] != part[other]))
-            left.append(row[meet])
-            right.append(other[meet])
-            waiting += len(left[-1])
-            if waiting > 100_000 or not len(row):
-                i, j = np.concatenate(left), np.concatenate(right)
+            i, j = row[meet], other[meet]
+            if signed and len(i):
                 ok = _allowed(threshold, flat, start, size, n, i, j)
-                a, b = name[i[ok]], name[j[ok]]
-                found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
-                left, right, waiting = [], [], 0
-        a, b = (np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)).T
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                i, j = i[ok], j[ok]
+            found.append((name[i], name[j]))
+            held += len(i)
+            if held > HELD_PAIRS or held and not len(row):
+                yield counted(*map(list, zip(*found)))
+                found, held = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = None
@@ -255,10 +270,10 @@ def _tiles(threshold: Fraction):
             whole = part if whole is None else pa.concat_tables([whole, part]).combine_chunks()
             edge = np.flatnonzero(_moved(*(whole.column(c).to_numpy() for c in ("tok", "k", "p", "q"))))
             if len(edge) > 1:  # all but the last tile, which may go on
-                yield pairs(whole.slice(0, int(edge[-1])))
+                yield from pairs(whole.slice(0, int(edge[-1])))
                 whole = whole.slice(int(edge[-1]))
         if whole is not None and whole.num_rows:
-            yield pairs(whole)
+            yield from pairs(whole)
 
     return run
 
@@ -272,21 +287,94 @@ def _moved(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, z): the compressed text of the smallest document of each class in wanted(cls); for a repeated doc_id also its other texts."""
+    reps = wanted.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
+    return packed(docs).join(reps, "doc_id").select("cls", "z")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b, met) of classes, those whose sizes and bitmaps allow a link."""
+    """Of pairs (a, b) of classes, those whose bitmaps allow a link."""
     light = classes.select("cls", "n", "bits")
     left, right = (light.select(*(F.col(c).alias(d) for c, d in zip(light.columns, (x, f"n_{x}", f"bits_{x}")))) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_bounded(threshold)), "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of pairs (a, b) of classes with `texts`, those that link.
+
+    Pairs go by their class a; one with more than GROUP pairs is dealt out, with a copy of its text for each GROUP.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    side = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    own = many.join(texts.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "z")
+    rows = own.unionByName(side.join(texts.withColumnRenamed("cls", "b"), "b"))
+    # a null b comes first
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(tidy(_exact(threshold)), "a long, b long")
+
+
+def _grouped(links: DataFrame) -> DataFrame:
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return joined.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+
+
+def _with_component(df: DataFrame, groups: DataFrame | None, cls: str = "cls", comp: str = "comp") -> DataFrame:
+    if groups is None:
+        return df.withColumn(comp, F.col(cls))
+    return df.join(groups.select(F.col("cls").alias(cls), F.col("comp").alias(comp)), cls, "left").withColumn(comp, F.coalesce(comp, cls))
+
+
+def _stars(hot: DataFrame, texts: DataFrame, classes: DataFrame, threshold: Fraction) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, components) of hot(tok, cls, n): a shortcut before the tiles that joins most of a large group of near copies.
+
+    Each round takes a class of each bucket by hash as its centre and compares every class of another component with
+    the centre that it meets most often. What doesn't link meets other centres in the next round, and at last the tiles,
+    so no link depends on this.
+    """
     p, q = threshold.numerator, threshold.denominator
-    near = pairs.join(left, "a").join(right, "b").where(f"least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p}")
-    return near.mapInArrow(tidy(_bounded(threshold)), "a long, b long, met long")
+    links = groups = None
+    for k in range(ROUNDS):
+        own = _with_component(hot, groups)
+        one = F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")), F.xxhash64("cls", F.lit(k))).alias("one")
+        centres = own.groupBy("tok").agg(one, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok", "one.*")
+        met = own.join(centres, "tok").where(f"comp <> comp_a AND least(n, n_a) * {q} >= greatest(n, n_a) * {p}").groupBy("cls", "a").agg(F.count("*").alias("met"))
+        pairs = cut(met.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b"))
+        tried = pairs.count()
+        if not tried:
+            break
+        new = cut(_verified(_possible(pairs, classes, threshold), texts, threshold))
+        linked = new.count()
+        if linked:
+            links = new if links is None else links.unionByName(new)
+            groups = cut(_grouped(links))
+        if linked < WORTH * tried:
+            break
+    return links, groups
+
+
+def _tiled(rows: DataFrame, threshold: Fraction, bits: DataFrame | None = None) -> DataFrame:
+    """(a, b, met): pairs of rows(tok, cls, n, comp, rows) that meet in tiles; rows: how many the bucket of tok has. See _tiles."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))
+    reach = int(np.ceil(np.log(float(1 / threshold)) / np.log(BAND) - 1e-9))
+    rows = rows.withColumns({"n": F.col("n").cast("long"), "band": band, "parts": F.ceil(F.col("rows") / TILE_ROWS)}).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    # a row is at home in its band's tile and a guest in those of the bands below; with parts > 1 in each pair of parts
+    other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    tiles = rows.withColumn("k", F.explode(F.sequence(F.col("band") - reach, F.col("band")))).withColumn("o", F.explode(other))
+    tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
+    if bits is not None:
+        tiles = tiles.join(bits.select("cls", "bits"), "cls")
+    tile = ("tok", "k", "p", "q")
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold, bits is not None)), "a long, b long, met long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link. A class's members come from the text of its smallest document."""
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
-    texts = packed(docs).join(sides, "doc_id").select("z", "cls", "a", "b")
-    members = texts.mapInArrow(tidy(_sides), "a long, b long, cls long, members binary")
-    return members.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(tidy(_exact(threshold)), "a long, b long")
+def _often_enough(threshold: Fraction) -> str:
+    """Condition on n_a, n_b and met, the shingles that both prefixes hold.
+
+    Of the two sets let x be the one whose prefix ends first. A common member is in both prefixes, or one of x's
+    ceil(t |x|) - 1 members beyond its prefix; a link needs t / (1 + t) (n_a + n_b) common members.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    return f"met >= ceil({p} * (n_a + n_b) / {p + q}D) - ceil({p} * greatest(n_a, n_b) / {q}D) + 1"
 
 
 def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
@@ -298,34 +386,36 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     rows = base.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
     often = base.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id").toPandas()
     told = spark.sparkContext.broadcast(np.sort(often["id"].to_numpy(np.int64).view(np.uint64)).tobytes())
-    entries = docs.mapInArrow(tidy(_entries(told, threshold)), "tok long, cls long")
-    bucket = Window.partitionBy("tok")
-    shared = cut(entries.withColumns({"low": F.min("cls").over(bucket), "high": F.max("cls").over(bucket)}).where("low <> high").select("tok", "cls", "low").distinct())
     classes = cut(base.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    stars = shared.where("cls <> low").groupBy(F.col("low").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("met"))
-    # of a class's stars the one that it has most in common with; tiles deal with the others if they still matter
-    stars = _possible(stars, classes, threshold).groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
-    links = cut(_verified(stars, classes, docs, threshold))
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # what is left between components
-    light = classes.select("cls", "n", "bits").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    still = shared.select("tok", "cls").join(light.select("cls", "n", "comp"), "cls")
-    open_ = still.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    still = still.join(open_.select("tok", "rows"), "tok")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))
-    reach = int(np.ceil(np.log(float(1 / threshold)) / np.log(BAND) - 1e-9))
-    parts = F.ceil(F.col("rows") / TILE_ROWS)
-    still = still.withColumns({"band": band, "parts": parts}).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    # a row is at home in its band's tile and a guest in those of the bands below; with parts > 1 in each pair of parts
-    other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    tiles = still.withColumn("k", F.explode(F.sequence(F.col("band") - reach, F.col("band")))).withColumn("o", F.explode(other))
-    tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
-    tiles = tiles.join(light.select("cls", "bits"), "cls")
-    tile = ("tok", "k", "p", "q")
-    near = tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold)), "a long, b long").distinct()
-    more = cut(_verified(near, classes, docs, threshold))
-    linked = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("cls", "rep").join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # rows of a frequent shingle are dealt out, all others of a shingle come together and are counted
+    entries = docs.mapInArrow(tidy(_entries(told, threshold)), ENTRIES).withColumn("salt", F.when(F.col("told"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0)))
+    entries = entries.repartition("tok", "salt").distinct()
+    shared = cut(entries.withColumn("rows", F.count("*").over(Window.partitionBy("tok", "salt"))).where("told OR rows > 1").withColumn("hot", F.col("told") | (F.col("rows") > HOT_ROWS)).select("tok", "cls", "n", "hot", "rows"))
+    texts = cut(_texts(docs, classes, shared))
+    hot = shared.where("hot").select("tok", "cls", "n")
+    hot = cut(hot.join(hot.groupBy("tok").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("tok"), "tok"))
+    links, groups = _stars(hot, texts, classes, threshold)
+    # what is left between components: hot buckets with bitmaps, as most pairs there would be between unlike sets
+    own = _with_component(hot, groups)
+    open_ = own.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    met = _tiled(own.join(open_.select("tok", "rows"), "tok"), threshold, classes)
+    met = met.unionByName(_tiled(shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows"), threshold))
+    met = met.groupBy("a", "b").agg(F.sum("met").alias("met"))
+    size = classes.select("cls", "n")
+    for x in "ab":
+        met = met.join(size.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}")), x)
+    near = met.where(_often_enough(threshold)).select("a", "b")
+    if groups is not None:
+        near = _with_component(_with_component(near, groups, "a", "c"), groups, "b", "d").where("c <> d").select("a", "b")
+    near = cut(_possible(near, classes, threshold))
+    # each pair goes by the class with more pairs, so no class is the other side of many
+    degree = near.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    for x in "ab":
+        near = near.join(degree.select(F.col("x").alias(x), F.col("d").alias(f"d_{x}")), x)
+    near = near.select(*(F.when(F.col("d_a") >= F.col("d_b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in ("ab", "ba")))
+    more = cut(_verified(near, texts, threshold))
+    linked = _grouped(more if links is None else links.unionByName(more))
+    named = _with_component(classes.select("cls", "rep"), linked, "cls", "component")
     return rows, named
 
 
@@ -340,11 +430,11 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     rows of their own, in one component. An empty table gives an empty result.
 
     1. A pass gives each row's set a class, so that copies are one from here on, and the frequent shingles.
-    2. Prefixes (see `prefix`) meet by shingle. Each bucket's smallest class is paired with the others (a star, not
-       all pairs); bitmaps bound the pairs, and each class's best one is intersected. What links is joined into
-       components, so large groups of near copies fall together.
-    3. Buckets that still hold more than one component go to tiles by size band, where all pairs between different
-       components are bounded by bitmaps; those that may link are intersected. So no link between components is lost.
+    2. Prefixes (see `prefix`) meet by shingle. Hot buckets, of a frequent shingle or of many classes, go through star
+       rounds (see `_stars`) that join large groups of near copies without comparing all their pairs.
+    3. Tiles by shingle and size band pair the classes that are still in different components, and count in how many
+       tiles a pair met. Too few for the sizes (see `_often_enough`), or bitmaps that bound the intersection too low:
+       no link. What is left is intersected. So no link between components is lost.
     """
     rows, named = _joined(docs, threshold)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

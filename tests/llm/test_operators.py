@@ -77,15 +77,18 @@ def test_tiles():
     rows.sort(key=lambda r: (*r[:4], r[5], r[4]))
     names = ["tok", "k", "p", "q", "cls", "n", "comp", "part", "home", "bits"]
     batches = [pa.record_batch([pa.array([r[c] for r in rows[i : i + 37]]) for c in range(10)], names=names) for i in range(0, 400, 37)]
-    got = {(a, b) for x in ngram_join._tiles(threshold)(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
-    want = set()
+    got = Counter()
+    for x in ngram_join._tiles(threshold, True)(iter(batches)):
+        for a, b, met in zip(*(x.column(c).to_pylist() for c in ("a", "b", "met"))):
+            got[a, b] += met
+    want = Counter()
     for i, x in enumerate(rows):
         for y in rows[i + 1 :]:
             near = min(x[5], y[5]) * 5 >= max(x[5], y[5]) * 4
             if x[:4] == y[:4] and x[6] != y[6] and (x[8] or y[8]) and near and (x[2] == x[3] or x[7] != y[7]):
                 most = ngram_join.bound(np.frombuffer(x[9], np.uint64), x[5], np.frombuffer(y[9], np.uint64), y[5])
                 if 9 * most >= 4 * (x[5] + y[5]):
-                    want.add((min(x[4], y[4]), max(x[4], y[4])))
+                    want[min(x[4], y[4]), max(x[4], y[4])] += 1
     assert got == want and want
 
 
