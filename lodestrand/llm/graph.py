@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star (each node points its larger, then its smaller-or-equal neighbours at the
     smallest one), which halves paths and flattens chains, so rounds grow with the logarithm of the graph. A hub's
-    neighbours are never gathered: the minimum is a partial aggregate, and it is joined back. Nulls and loops go.
+    minimum is a partial aggregate, and no row holds its neighbours; the join that brings the minimum back to them goes by
+    the hub, and adaptive execution splits it where that is skewed. Nulls and loops go.
     """
     pairs = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None

@@ -24,7 +24,9 @@ BAND = 1.25
 #: Classes in a bucket from which it is hot, as one with a frequent shingle is: stars join what they can of it first.
 HOT_ROWS = 64
 #: Star rounds at most, and the part of a round's pairs that must link for one more.
-ROUNDS, WORTH = 8, 0.05
+ROUNDS, WORTH = 8, 0.25
+#: Ids of texts that are broadcast to the scan that fetches them (16 bytes each); more are joined by a shuffle.
+TOLD_IDS = 250_000
 #: Tasks that the rows of one frequent shingle are dealt out to, and pairs of a class that one task verifies.
 SALTS, GROUP = 64, 512
 #: Rows of one tile; a larger bucket is dealt out to tiles by pairs of blocks of this size.
@@ -36,8 +38,8 @@ PAIR_WORDS = 1 << 18
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit for each member, of a power of two of bits, at least twice as many as members and 64."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """One bit for each member, of a power of two of bits, at least four times as many as members and 64."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
     out = np.zeros(bits >> 6, np.uint64)
     at = mix(s) & U(bits - 1)
     np.bitwise_or.at(out, at >> U(6), U(1) << (at & U(63)))
@@ -142,7 +144,7 @@ def _entries(frequent, threshold: Fraction):
 
 
 def _bounded(threshold: Fraction):
-    """Of pairs (a, n_a, bits_a, b, n_b, bits_b), those whose bitmaps allow a link."""
+    """Of pairs (a, n_a, bits_a, b, n_b, bits_b), those whose bitmaps allow a link, and how large they let it be (as a similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +155,10 @@ def _bounded(threshold: Fraction):
             size = np.concatenate([p[2] for p in parts])
             n = np.concatenate([batch.column(k).to_numpy() for k in ("n_a", "n_b")])
             i = np.arange(rows)
-            keep = pa.array(_allowed(threshold, flat, start, size, n, i, i + rows))
-            yield pa.record_batch([batch.column(k).filter(keep) for k in ("a", "b")], names=["a", "b"])
+            most = _most(flat, start, size, n, i, i + rows)
+            keep = pa.array(_allowed(threshold, most, n[:rows], n[rows:]))
+            like = pa.array(most / (n[:rows] + n[rows:] - most))
+            yield pa.record_batch([*(batch.column(k).filter(keep) for k in ("a", "b")), like.filter(keep)], names=["a", "b", "like"])
 
     return run
 
@@ -208,9 +212,9 @@ def _folds(flat: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) ->
     return out
 
 
-def _allowed(threshold: Fraction, flat: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) have bitmaps that allow a link, see `bound`."""
-    ok = np.zeros(len(i), bool)
+def _most(flat: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What the bitmaps of the pairs (i, j) let their intersections be at most, see `bound`."""
+    most = np.zeros(len(i), np.int64)
     words = np.minimum(size[i], size[j])
     for w in np.unique(words):
         same = np.flatnonzero(words == w)
@@ -218,9 +222,12 @@ def _allowed(threshold: Fraction, flat: np.ndarray, start: np.ndarray, size: np.
         for at in (same[k : k + step] for k in range(0, len(same), step)):
             p, q = i[at], j[at]
             x, y = _folds(flat, start[p], size[p], w), _folds(flat, start[q], size[q], w)
-            most = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            ok[at] = most * (threshold.denominator + threshold.numerator) >= threshold.numerator * (n[p] + n[q])
-    return ok
+            most[at] = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return most
+
+
+def _allowed(threshold: Fraction, most: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    return most * (threshold.denominator + threshold.numerator) >= threshold.numerator * (n_a + n_b)
 
 
 def _tiles(threshold: Fraction, signed: bool):
@@ -255,7 +262,7 @@ def _tiles(threshold: Fraction, signed: bool):
             meet = (comp[row] != comp[other]) & (home[row] | home[other]) & (~split[row] | (part[row] != part[other]))
             i, j = row[meet], other[meet]
             if signed and len(i):
-                ok = _allowed(threshold, flat, start, size, n, i, j)
+                ok = _allowed(threshold, _most(flat, start, size, n, i, j), n[i], n[j])
                 i, j = i[ok], j[ok]
             found.append((name[i], name[j]))
             held += len(i)
@@ -289,15 +296,17 @@ def _moved(*columns: np.ndarray) -> np.ndarray:
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, z): the compressed text of the smallest document of each class in wanted(cls); for a repeated doc_id also its other texts."""
-    reps = wanted.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL")
+    reps = cut(wanted.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL"))
+    if reps.count() <= TOLD_IDS:
+        return packed(docs.join(F.broadcast(reps), "doc_id").select("cls", "text"))
     return packed(docs).join(reps, "doc_id").select("cls", "z")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose bitmaps allow a link."""
+    """Of pairs (a, b) of classes, those whose bitmaps allow a link, with the similarity `like` that they allow."""
     light = classes.select("cls", "n", "bits")
     left, right = (light.select(*(F.col(c).alias(d) for c, d in zip(light.columns, (x, f"n_{x}", f"bits_{x}")))) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_bounded(threshold)), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_bounded(threshold)), "a long, b long, like double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFrame:
@@ -324,25 +333,26 @@ def _with_component(df: DataFrame, groups: DataFrame | None, cls: str = "cls", c
     return df.join(groups.select(F.col("cls").alias(cls), F.col("comp").alias(comp)), cls, "left").withColumn(comp, F.coalesce(comp, cls))
 
 
-def _stars(hot: DataFrame, texts: DataFrame, classes: DataFrame, threshold: Fraction) -> tuple[DataFrame | None, DataFrame | None]:
+def _stars(hot: DataFrame, docs: DataFrame, classes: DataFrame, threshold: Fraction) -> tuple[DataFrame | None, DataFrame | None]:
     """(links, components) of hot(tok, cls, n): a shortcut before the tiles that joins most of a large group of near copies.
 
-    Each round takes a class of each bucket by hash as its centre and compares every class of another component with
-    the centre that it meets most often. What doesn't link meets other centres in the next round, and at last the tiles,
-    so no link depends on this.
+    Each round takes a class of each bucket by hash as its centre. Of all centres of its buckets, a class is compared
+    with the one in another component that is most like it by their bitmaps. What doesn't link meets other centres in
+    the next round, and at last the tiles, so no link depends on this.
     """
     p, q = threshold.numerator, threshold.denominator
-    links = groups = None
+    links = groups = texts = None
     for k in range(ROUNDS):
         own = _with_component(hot, groups)
-        one = F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")), F.xxhash64("cls", F.lit(k))).alias("one")
+        one = F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")), F.xxhash64("cls", "tok", F.lit(k))).alias("one")
         centres = own.groupBy("tok").agg(one, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok", "one.*")
-        met = own.join(centres, "tok").where(f"comp <> comp_a AND least(n, n_a) * {q} >= greatest(n, n_a) * {p}").groupBy("cls", "a").agg(F.count("*").alias("met"))
-        pairs = cut(met.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b"))
+        met = own.join(centres, "tok").where(f"comp <> comp_a AND least(n, n_a) * {q} >= greatest(n, n_a) * {p}").select("a", F.col("cls").alias("b")).distinct()
+        pairs = cut(_possible(met, classes, threshold).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b"))
         tried = pairs.count()
         if not tried:
             break
-        new = cut(_verified(_possible(pairs, classes, threshold), texts, threshold))
+        texts = texts if texts is not None else cut(_texts(docs, classes, hot))
+        new = cut(_verified(pairs, texts, threshold))
         linked = new.count()
         if linked:
             links = new if links is None else links.unionByName(new)
@@ -391,14 +401,14 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     entries = docs.mapInArrow(tidy(_entries(told, threshold)), ENTRIES).withColumn("salt", F.when(F.col("told"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0)))
     entries = entries.repartition("tok", "salt").distinct()
     shared = cut(entries.withColumn("rows", F.count("*").over(Window.partitionBy("tok", "salt"))).where("told OR rows > 1").withColumn("hot", F.col("told") | (F.col("rows") > HOT_ROWS)).select("tok", "cls", "n", "hot", "rows"))
-    texts = cut(_texts(docs, classes, shared))
     hot = shared.where("hot").select("tok", "cls", "n")
     hot = cut(hot.join(hot.groupBy("tok").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("tok"), "tok"))
-    links, groups = _stars(hot, texts, classes, threshold)
+    signed = cut(classes.join(hot.select("cls").distinct(), "cls"))
+    links, groups = _stars(hot, docs, signed, threshold)
     # what is left between components: hot buckets with bitmaps, as most pairs there would be between unlike sets
     own = _with_component(hot, groups)
     open_ = own.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    met = _tiled(own.join(open_.select("tok", "rows"), "tok"), threshold, classes)
+    met = _tiled(own.join(open_.select("tok", "rows"), "tok"), threshold, signed)
     met = met.unionByName(_tiled(shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows"), threshold))
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"))
     size = classes.select("cls", "n")
@@ -407,12 +417,13 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     near = met.where(_often_enough(threshold)).select("a", "b")
     if groups is not None:
         near = _with_component(_with_component(near, groups, "a", "c"), groups, "b", "d").where("c <> d").select("a", "b")
-    near = cut(_possible(near, classes, threshold))
+    near = cut(_possible(near, classes, threshold).select("a", "b"))
     # each pair goes by the class with more pairs, so no class is the other side of many
     degree = near.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
     for x in "ab":
         near = near.join(degree.select(F.col("x").alias(x), F.col("d").alias(f"d_{x}")), x)
     near = near.select(*(F.when(F.col("d_a") >= F.col("d_b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in ("ab", "ba")))
+    texts = cut(_texts(docs, classes, near.select(F.explode(F.array("a", "b")).alias("cls"))))
     more = cut(_verified(near, texts, threshold))
     linked = _grouped(more if links is None else links.unionByName(more))
     named = _with_component(classes.select("cls", "rep"), linked, "cls", "component")

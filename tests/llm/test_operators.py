@@ -265,3 +265,30 @@ def test_html():
     assert r("<pre>a  b\n c</pre>") == "a  b\n c"
     assert r("") == r("<p style='display:none'>x") == r("<!-- x -->") == ""
     assert r("<" * 50 + "<div" * 300) is not None
+
+
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Near copies whose pairs link in part, passages that many share, and few rows to a tile: against brute force."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    edit = lambda k: " ".join(f"e{rnd.randrange(900)}" if rnd.random() < k else w for w in base)
+    rows = [(i, edit(rnd.choice((0.005, 0.01, 0.02)))) for i in range(150)]
+    rows += [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(rnd.randrange(4, 40)))) for i in range(150, 230)]
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if 100 * len(a & b) >= 80 * len(a | b) and group[i] != group[j]:
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert 3 < len(set(group[:150])) < 100
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    for rounds in (8, 0):  # without stars the tiles alone find every link
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_classes(df).collect()}
+        assert got == {i: (len(sets[i]), group[i]) for i in range(len(rows))}
+    monkeypatch.setattr(ngram_join, "TOLD_IDS", 0)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_classes(df).collect()} == got
