@@ -129,5 +129,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(shards: DataFrame) -> DataFrame:
     """Per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers)."""
-    shards = shards.select("part", "uri", "name", "base").repartition("part")
+    # a number of its own, so that adaptive execution doesn't join the few small rows, and with them all files, in one task
+    shards = shards.select("part", "uri", "name", "base").repartition(max(1, shards.count()), "part")
     return shards.mapInArrow(tidy(_read), READ)

@@ -8,8 +8,8 @@ from functools import lru_cache
 
 #: Stretches that a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_200_000
-#: Stretches encoded at once; the library's encodings are far larger than their ids.
-ENCODED = 2_000
+#: Stretches encoded at once; the library's encodings are far larger than their ids, and past the processor's caches cost more.
+ENCODED = 100
 
 
 class _Encoder:
