@@ -9,8 +9,8 @@ from .common import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: A line is taken for boilerplate if so many different texts of a host have it, and so large a part of them.
-LINE_TEXTS, LINE_PART = 20, 0.05
+#: A line is taken for boilerplate if so many documents of a host have it, and so large a part of them.
+LINE_DOCS, LINE_PART = 20, 0.05
 #: A document is depleted if fewer words are left, or a smaller part of its words.
 LEFT_WORDS, LEFT_PART = 20, 0.3
 MIN_WORDS, REPEAT_PART = 50, 50
@@ -49,15 +49,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def lines_over_limits(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, host, pos, words): the lines (from 0) of each different row that are above the limits.
 
-    Lines go by a 64-bit hash of their normalised form. Documents are counted by their text, so copies count once, and
-    counts are partial sums by (host, line, text) first, so neither a hot host nor a hot line meets in one task before.
+    Lines go by a 64-bit hash of their normalised form. Documents are distinct pairs of doc_id and text, so a repeated row
+    counts once; counts are partial sums by (host, line, document) first, so neither a hot host nor a hot line meets in
+    one task before.
     """
     t = keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(*KEY, "pos", normalised(F.col("line")).alias("line")).where("line <> ''")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = cut(t.select(*KEY, "pos", F.xxhash64("line").alias("line"), words.cast("long").alias("words")))
-    texts = lines.groupBy("host", "line").agg(F.count_distinct("twin").alias("texts")).where(F.col("texts") >= LINE_TEXTS)
-    of_host = lines.groupBy("host").agg(F.count_distinct("twin").alias("all_texts"))
-    frequent = texts.join(of_host, "host").where(F.col("texts") > LINE_PART * F.col("all_texts")).select("host", "line")
+    of_line = lines.groupBy("host", "line").agg(F.count_distinct("doc_id", "twin").alias("docs")).where(F.col("docs") >= LINE_DOCS)
+    of_host = lines.groupBy("host").agg(F.count_distinct("doc_id", "twin").alias("all_docs"))
+    frequent = of_line.join(of_host, "host").where(F.col("docs") > LINE_PART * F.col("all_docs")).select("host", "line")
     return lines.join(frequent, ["host", "line"]).select(*KEY, "pos", "words").distinct()
 
 
@@ -76,7 +77,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text, source): the base counts, base_failed, left_words, depleted and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. A line is over the limits if at
-    least LINE_TEXTS different texts of its host (source) have it and over LINE_PART of the host's texts; left_words are
+    least LINE_DOCS documents of its host (source) have it and over LINE_PART of the host's documents; left_words are
     the words outside such lines; depleted: fewer than LEFT_WORDS or under LEFT_PART of the words are left. kept: neither.
     A null text is empty and fails, a null source is the host of an empty name, a null doc_id stays null, repeated rows
     have equal results each, an empty table gives none, and other columns aren't read.

@@ -100,10 +100,10 @@ w AS (SELECT r, doc_id, text, host, [x FOR x IN regexp_split_to_array(text, '[\x
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-lines AS (SELECT r, host, text, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM d),
+lines AS (SELECT r, doc_id, host, text, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM d),
 full_lines AS (SELECT * FROM lines WHERE line <> ''),
-frequent AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM full_lines GROUP BY host, line) JOIN (SELECT host, count(DISTINCT text) AS m FROM full_lines GROUP BY host) USING (host)
-  WHERE n >= {quality.LINE_TEXTS} AND n > {quality.LINE_PART}::DOUBLE * m),
+frequent AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT (doc_id, text)) AS n FROM full_lines GROUP BY host, line) JOIN (SELECT host, count(DISTINCT (doc_id, text)) AS m FROM full_lines GROUP BY host) USING (host)
+  WHERE n >= {quality.LINE_DOCS} AND n > {quality.LINE_PART}::DOUBLE * m),
 gone AS (SELECT r, sum(len(string_split(line, ' ')))::BIGINT AS n FROM full_lines JOIN frequent USING (host, line) GROUP BY r),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(gone.n, 0))::BIGINT AS left_words
