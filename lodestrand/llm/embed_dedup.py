@@ -92,7 +92,29 @@ def _hashes(polytopes: int):
     return run
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 to n - 1 the smallest node that the links (a, b) lead to."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+LINKED = "rep long, linked long, root long"
+
+
 def _cosines(least: float):
+    """Of pairs (a, b) with vectors and row counts: per batch and class in a link, the rows linked to it and a class that links lead to.
+
+    So a group's links stay in the batch where they are found, and a row comes out for each class, not for each link.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -101,9 +123,12 @@ def _cosines(least: float):
             if x.shape[1] != y.shape[1]:
                 width = max(x.shape[1], y.shape[1])
                 x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
-            cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            keep = pa.array(cosine >= least)
-            yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            keep = np.flatnonzero((x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= least)
+            a, b, na, nb = (batch.column(k).to_numpy()[keep] for k in ("a", "b", "na", "nb"))
+            names, of = np.unique(np.concatenate((a, b)), return_inverse=True)
+            linked = np.zeros(len(names), np.int64)
+            np.add.at(linked, of, np.concatenate((nb, na)))
+            yield pa.record_batch([pa.array(names), pa.array(linked), pa.array(names[roots(of[: len(a)], of[len(a) :], len(names))])], names=["rep", "linked", "root"])
 
     return run
 
@@ -125,7 +150,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, v).alias("v"))
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     rows = rows.withColumn("v", F.transform("v", lambda x: x / top + 0.0))  # and -0.0 as 0.0
-    code = F.when(F.col("v").isNotNull(), F.md5(F.to_json("v")))
+    # two 64-bit hashes of the components name a vector's class
+    code = F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(SEED), "v").alias("y")))
     rows = rows.select("vec_id", "v", code.alias("code"))
     classes = cut(rows.where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v")).withColumn("rep", F.coalesce("least", F.xxhash64("code"))))
     many = classes.count()
@@ -136,11 +162,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     own, probe = hashes.where("own").select("t", "bucket", F.col("rep").alias("x")), hashes.select("t", "bucket", F.col("rep").alias("y"))
     pairs = own.join(probe, ["t", "bucket"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     vector = classes.select("rep", "v", "n")
-    pairs = pairs.join(vector.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vector.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-    links = cut(pairs.mapInArrow(tidy(_cosines(least)), "a long, b long"))
-    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
-    degree = both.join(vector.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), "component")
+    pairs = pairs.join(vector.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), "a").join(vector.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb")), "b")
+    links = cut(pairs.mapInArrow(tidy(_cosines(least)), LINKED))
+    degree = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    joined = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     named = classes.select("code", "rep", "n", "least").join(joined, "rep", "left").join(degree, "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
