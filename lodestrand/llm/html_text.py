@@ -32,7 +32,7 @@ IMPLIED = {
 }
 SCOPES = frozenset("table td th caption html object template".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -46,20 +46,38 @@ class Node:
         self.name, self.attributes, self.children = name, attributes, []
 
 
+class Open:
+    """The open elements, and for each name where they stand, so that no tag walks all that are open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names, limits) -> bool:
+        """Ends the innermost element of these names and all in it, unless one of limits is further in."""
+        at = self.last(names)
+        if not at or at < self.last(limits):
+            return False
+        for node in reversed(self.stack[at:]):
+            self.places[node.name].pop()
+        del self.stack[at:]
+        return True
+
+
 def tree(page: str) -> Node:
     """The elements of a page. Text nodes are strings; end tags that close nothing are ignored, open elements end with the page."""
     root = Node("html", {})
-    stack, at = [root], 0
+    open_ = Open(root)
+    stack, at = open_.stack, 0
     text = lambda s: s and stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
-    def close(names, limits=SCOPES) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in limits:
-                return
-
     while (m := MARKUP.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
@@ -67,12 +85,12 @@ def tree(page: str) -> Node:
         if not name:
             continue
         if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not open_.last(("p",)):
                 stack[-1].children.append(Node("p", {}))
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
-                close({name}, SCOPES - {name} if name in SCOPES else SCOPES)
+                open_.close((name,), SCOPES - {name} if name in SCOPES else SCOPES)
             continue
         attributes = {}
         for a in ATTRIBUTE.finditer(m[3] or ""):
@@ -81,14 +99,14 @@ def tree(page: str) -> Node:
             stack[0].attributes = attributes | stack[0].attributes
             continue
         if name in ENDS_P:
-            close({"p"})
+            open_.close(("p",), SCOPES)
         if name in IMPLIED:
             ended, limits = IMPLIED[name]
-            while any(n.name in ended for n in stack[max(1, 1 + max((i for i, n in enumerate(stack) if n.name in limits), default=0)) :]):
-                close(ended, limits)
+            while open_.close(ended, limits):
+                pass
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Node("tr", {}))
-            stack.append(row)
+            open_.push(row)
         node = Node(name, attributes)
         stack[-1].children.append(node)
         if name in VOID or (m[3] or "").endswith("/") and name in ("path", "circle"):
@@ -99,7 +117,7 @@ def tree(page: str) -> Node:
             node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             at = len(page) if end is None else (page.find(">", end.end()) + 1 or len(page))
             continue
-        stack.append(node)
+        open_.push(node)
     text(page[at:])
     return root
 
