@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import tokens
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Text bytes that one numpy block holds at most (a longer document has a block of its own).
@@ -54,10 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run for mapInArrow; at a task's end what it freed goes back to the system, as workers outlive tasks and stages."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False):
+    """run for mapInArrow; at a task's end what it freed goes back to the system, as workers outlive tasks and stages.
+
+    remembers: the task goes on with the words that earlier ones in its worker encoded; others forget them first.
+    """
 
     def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            tokens.encoder.cache_clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids)), PIECES + ", z binary" * with_ids)
+    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids), True), PIECES + ", z binary" * with_ids)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True) -> DataFrame:

@@ -84,7 +84,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, v
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text")).withColumn("twin", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc", "twin").sortWithinPartitions("doc", "twin").select("doc", "text")
-    shards = cut(rows.mapInArrow(tidy(_write(tokenizer, uri, width, end)), SHARDS))
+    shards = cut(rows.mapInArrow(tidy(_write(tokenizer, uri, width, end), True), SHARDS))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return shards.select("part", F.lit(uri).alias("uri"), "name", "documents", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 

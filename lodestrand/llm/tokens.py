@@ -6,8 +6,8 @@ import os
 from array import array
 from functools import lru_cache
 
-#: Stretches that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_200_000
+#: Stretches that a worker remembers (about 250 bytes each); beyond that it starts anew.
+REMEMBERED = 500_000
 #: Stretches encoded at once; the library's encodings are far larger than their ids, and past the processor's caches cost more.
 ENCODED = 100
 
@@ -75,6 +75,6 @@ class WordLevel(_Encoder):
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(kind: str, path: str, width: int) -> _Encoder:
     return {"bytes": ByteLevel, "words": WordLevel}[kind](path, width)
