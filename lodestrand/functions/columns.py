@@ -74,6 +74,63 @@ def half_clip(c: Column) -> Column:
     return F.greatest(F.least(c, F.lit(HALF_MAX)), F.lit(-HALF_MAX))
 
 
+def number_in(c: Column) -> Column:
+    """The number at a name's end, null if there is none."""
+    return F.regexp_extract(c, r"(\d+)$", 1).try_cast("int")
+
+
+def first_match(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
+    """The label of the first text that c contains (C8, C10); the order counts."""
+    out = F
+    for text, label in rules:
+        out = out.when(F.contains(c, F.lit(text)), label)
+    return out.otherwise(otherwise)
+
+
+def level_of(c: Column, levels: dict[str, int]) -> Column:
+    """The level of the first text that c contains, 0 if none (F16)."""
+    out = F
+    for text, level in levels.items():
+        out = out.when(F.contains(c, F.lit(text)), level)
+    return out.otherwise(0)
+
+
+def timepoint(name: Column) -> Column:
+    """The number of _T<number>_ in a name."""
+    return F.regexp_extract(name, r"_T(\d+)_", 1).try_cast("int")
+
+
+def insertion_place(name: Column) -> Column:
+    """100 + 10 for each step of ctx<number> in a name (C11)."""
+    return 100 + 10 * F.regexp_extract(name, r"ctx(\d+)", 1).try_cast("int")
+
+
+def mapped(c: Column, labels: dict[str, str]) -> Column:
+    """A fixed renaming; other values pass through."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[c], c)
+
+
+def shifted_log(x: Column, least: Column) -> Column:
+    """log after a shift that makes all values positive."""
+    return F.log(x + F.when(least <= 0, 1 - least).otherwise(0.0) + 1e-8)
+
+
+def is_local(a: Column, b: Column, same: Column, reach: int) -> Column:
+    """Within reach on one chromosome."""
+    return (F.abs(a - b) <= reach) & same
+
+
+def promoter(start: Column, end: Column, strand: Column, size: Column, width: int) -> tuple[Column, Column]:
+    """The window of `width` before a gene's start, within 0 and the chromosome's size."""
+    plus = strand == "+"
+    return F.when(plus, F.greatest(start - width, F.lit(0))).otherwise(end), F.when(plus, start).otherwise(F.least(end + width, size))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """100 part / whole, 0 where whole is 0."""
+    return F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)
+
+
 # DNA
 
 
@@ -140,6 +197,23 @@ def information(row: Column, pseudo: float = 1e-9) -> Column:
     return F.lit(2.0) + F.aggregate(row, F.lit(0.0), lambda a, p: a + p * F.log2(p + pseudo))
 
 
+def scaled(row: Column) -> Column:
+    return F.transform(row, lambda x: x / F.aggregate(row, F.lit(0.0), lambda a, y: a + y))
+
+
+def log_mean_ratio(row: Column) -> Column:
+    """x ln(x / mean) for each x of a row (Q15)."""
+    return F.transform(row, lambda x: x * F.log(x / (F.aggregate(row, F.lit(0.0), lambda a, y: a + y) / F.size(row))))
+
+
+def centred(seq: Column, width: int) -> Column:
+    """The middle `width` bases, or the sequence with N on both sides (Q9)."""
+    n = F.length(seq)
+    left = F.floor((width - n) / 2).cast("int")
+    cut = F.substring(seq, F.floor((n - width) / 2).cast("int") + 1, F.lit(width))
+    return F.when(n >= width, cut).otherwise(F.concat(F.repeat(F.lit("N"), left), seq, F.repeat(F.lit("N"), width - n - left)))
+
+
 # tracks
 
 #: What a bin's values become.
@@ -153,6 +227,23 @@ def soft_clip(x: Column, c: float) -> Column:
     return F.when(x > c, c - 1 + F.sqrt(x - c + 1)).otherwise(x)
 
 
+def soft_clip_plain(x: Column, c: float) -> Column:
+    """The second form, without the step of 1 (R2)."""
+    return F.when(x > c, c + F.sqrt(x - c)).otherwise(x)
+
+
+def unscaled(y: Column, scale: float, clip: float, power: float) -> Column:
+    """What a scaled, softly clipped power of a track was."""
+    x = y / scale
+    return F.pow(F.when(x > clip, F.pow(x - clip, 2) + clip).otherwise(x), 1.0 / power)
+
+
+def ism_scores(distal: Column, proximal: Column) -> dict[str, Column]:
+    """Scores of two sums or means: log, log of their ratio, log odds."""
+    ratio = distal / proximal
+    return {"plain": F.log(distal + 1e-6), "ratio": F.log(ratio + 1e-6), "log_odds": F.log(ratio / (1 - ratio) + 1e-6)}
+
+
 def hard_clip(x: Column, c: float) -> Column:
     return F.greatest(F.least(x, F.lit(c)), F.lit(-c))
 

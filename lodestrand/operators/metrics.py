@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import average_rank
+
 
 def _steps(df: DataFrame, by: list[str]) -> DataFrame:
     """Per group and distinct score, from the highest: counts of positives and all, and their running sums."""
@@ -31,40 +33,54 @@ def roc_curve(df: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "score", (F.col("tp") / F.max("tp").over(w)).alias("tpr"), (F.col("fp") / F.max("fp").over(w)).alias("fpr"))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1, ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson, null where a side is constant or there are fewer than two rows."""
     return F.when((F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.na.drop(subset=[x, y]).withColumns({"__x": average_rank(by, x), "__y": average_rank(by, y)})
+    """Pearson of the average ranks, per group (M8); ranks come from blocks of values, see windows.blocked."""
+    known = df.na.drop(subset=[x, y]).select(*by, x, y)
+    ranked = average_rank(average_rank(known, by, x, "__x"), by, y, "__y")
     return ranked.groupBy(*by).agg(guarded_corr("__x", "__y").alias("spearman"))
 
 
+def normal_tail(z: Column) -> Column:
+    """The part of the standard normal above z, to 1e-7. The five coefficients of the classic rational approximation."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = poly * F.exp(-z * z / 2) / 2.5066282746310002
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
 def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
-    """U of label 1 over label 0 and the normal score with tie correction, per group of df(by, label, score)."""
-    w = Window.partitionBy(*by)
-    ranked = df.na.drop(subset=["label", "score"]).withColumns({"r": average_rank(by, "score"), "t": F.count("*").over(Window.partitionBy(*by, "score"))})
-    agg = ranked.groupBy(*by).agg(F.sum("label").alias("n1"), F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("r1"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
-    del w
+    """U of label 1 over label 0, the normal score z with tie correction, and p for greater, less and two-sided, per group of df(by, label, score).
+
+    Rows are counted by (group, score) first; the rank of a score is what lies below it, from a running sum over distinct
+    scores. p is the normal approximation with continuity correction.
+    """
+    at = df.na.drop(subset=["label", "score"]).groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count("*").alias("t"))
+    below = F.sum("t").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
+    agg = at.withColumn("r", below + (F.col("t") + 1) / 2).groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("p") * F.col("r")).alias("r1"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
     n1, n, n0 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    return agg.where((n1 > 0) & (n0 > 0) & (n > 1)).select(*by, u.alias("u"), F.try_divide(u - n1 * n0 / 2, sd).alias("z"))
+    score = lambda x: F.try_divide(x - 0.5, sd)
+    mid = n1 * n0 / 2
+    greater, less = normal_tail(score(u - mid)), normal_tail(score(mid - u))
+    two = F.least(2 * normal_tail(score(F.abs(u - mid))), F.lit(1.0))
+    return agg.where((n1 > 0) & (n0 > 0) & (n > 1)).select(*by, u.alias("u"), F.try_divide(u - mid, sd).alias("z"), greater.alias("p_greater"), less.alias("p_less"), two.alias("p_two_sided"))
 
 
 def kolmogorov_smirnov(df: DataFrame, by: list[str]) -> DataFrame:
-    """The largest distance between the two labels' step functions."""
+    """The largest distance between the two labels' step functions, and its asymptotic p."""
     at = df.na.drop(subset=["label", "score"]).groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
     w, run = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    d = at.select(*by, F.abs(F.sum("p").over(run) / F.sum("p").over(w) - F.sum("q").over(run) / F.sum("q").over(w)).alias("d"))
-    return d.groupBy(*by).agg(F.max("d").alias("ks"))
+    d = at.select(*by, F.sum("p").over(w).alias("n1"), F.sum("q").over(w).alias("n0"), F.abs(F.sum("p").over(run) / F.sum("p").over(w) - F.sum("q").over(run) / F.sum("q").over(w)).alias("d"))
+    d = d.groupBy(*by).agg(F.max("d").alias("ks"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
+    x = F.col("ks") * F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
+    series = sum((F.exp(-2.0 * k * k * x * x) * (1 if k % 2 else -1) for k in range(1, 21)), F.lit(0.0))
+    return d.select(*by, "ks", F.greatest(F.least(2 * series, F.lit(1.0)), F.lit(0.0)).alias("p"))
 
 
 def cohens_d(df: DataFrame, by: list[str]) -> DataFrame:
@@ -100,3 +116,16 @@ def verdict(df: DataFrame) -> DataFrame:
     a, b = F.col("reproduced"), F.col("reported")
     ok = F.when(F.col("mode") == "ge", a >= b).when(F.col("mode") == "gt", a > b).when(F.col("mode") == "le", a <= b).otherwise(F.abs(a - b) <= F.col("atol") + F.col("rtol") * F.abs(b))
     return df.withColumns({"delta": a - b, "verdict": F.when(a.isNull(), "MISSING").when(ok, "PASS").otherwise("FAIL")})
+
+
+def curve_band(curves: DataFrame, member: str, least: int = 2) -> DataFrame:
+    """(g, mean, sem, low, high) over members at each grid point, of `least` members or more; the band within 0 and 1 (M4)."""
+    agg = curves.groupBy("g").agg(F.avg("y").alias("mean"), (F.stddev_samp("y") / F.sqrt(F.count("y"))).alias("sem"), F.count_distinct(member).alias("n")).where(F.col("n") >= least)
+    low, high = F.greatest(F.col("mean") - F.col("sem"), F.lit(0.0)), F.least(F.col("mean") + F.col("sem"), F.lit(1.0))
+    return agg.select("g", "mean", "sem", low.alias("low"), high.alias("high"))
+
+
+def region_scores(a: Column, n_a: Column, b: Column, n_b: Column) -> dict[str, Column]:
+    """Precision, recall, F1 and Jaccard from the regions of each side that overlap the other, counted apart (A17); Jaccard takes the first side's."""
+    precision, recall = F.try_divide(a, n_a), F.try_divide(b, n_b)
+    return {"precision": precision, "recall": recall, "f1": F.try_divide(2 * precision * recall, precision + recall), "jaccard": F.try_divide(a, n_a + n_b - a)}

@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def pct_rank_max(by: list[str], value: str) -> Column:
-    """Part of rows at or below the value: ties get the highest rank."""
-    return F.cume_dist().over(Window.partitionBy(*by).orderBy(value))
+def pct_rank_max(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
+    """df with the part of its group's rows at or below the value: ties get the highest rank."""
+    low = F.count("*").over(Window.partitionBy(*by, "__block").orderBy(value))
+    return blocked(df, by, value).withColumn(name, (F.col("__before") + low) / F.col("__all")).drop("__block", "__before", "__all")
 
 
-def pct_rank_first(by: list[str], value: str, tie: str) -> Column:
-    """Row number over count; `tie` stands for the input's order."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) / F.count("*").over(Window.partitionBy(*by))
+def pct_rank_first(df: DataFrame, by: list[str], value: str, tie: str, name: str = "rank") -> DataFrame:
+    """df with row number over count; `tie` stands for the input's order."""
+    row = F.row_number().over(Window.partitionBy(*by, "__block").orderBy(value, tie))
+    return blocked(df, by, value).withColumn(name, (F.col("__before") + row) / F.col("__all")).drop("__block", "__before", "__all")
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """df with the rank from 1 in its group, ties at their mean."""
+    w = Window.partitionBy(*by, "__block")
+    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, "__block", value)) - 1) / 2
+    return blocked(df, by, value).withColumn(name, F.col("__before") + rank).drop("__block", "__before", "__all")
 
 
 def offset_before(value: str, spec: WindowSpec) -> Column:
@@ -24,8 +33,7 @@ def offset_before(value: str, spec: WindowSpec) -> Column:
 def shrinking_mean(df: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
     """Moving average whose frame is symmetric and shrinks at both ends: half = min(width // 2, i, n - 1 - i).
 
-    The sums of a group's values up to any place are an array beside each row's own frame, so the frame may vary by row;
-    one row holds one series, which bounds it to what a series is.
+    Two neighbours for each step of the half-width, all over one window, each counted where the frame reaches it.
     """
     half = F.least(F.lit(width // 2), F.col("i"), F.col("n") - 1 - F.col("i"))
     w = Window.partitionBy(*by)
@@ -53,3 +61,44 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def hash_order(column: str, seed: str = "42") -> Column:
     """A reproducible random order, the same in any engine with MD5."""
     return F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(column).cast("string")))
+
+
+def hash_ranked(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """df with rank, from 1, in the group's hash order of a unique column, in 256 blocks by the hash's first byte."""
+    named = df.withColumn("__h", hash_order(column)).withColumn("__block", F.substring("__h", 1, 2))
+    sizes = named.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
+    before = sizes.select(*by, "__block", offset_before("__n", Window.partitionBy(*by).orderBy("__block")).alias("__before"))
+    w = Window.partitionBy(*by, "__block").orderBy("__h", column)
+    return named.withColumn("__r", F.row_number().over(w)).join(before, [*by, "__block"]).withColumn("rank", F.col("__r") + F.col("__before")).drop("__h", "__block", "__r", "__before")
+
+
+#: Blocks that a group's values are cut into for a rank.
+BLOCKS = 64
+
+
+def blocked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with __block, __before (the group's rows in lower blocks) and __all (its rows), for ranks by (by, __block).
+
+    A group's blocks lie between approximate quantiles of its values, so equal values share a block, a few large groups
+    make BLOCKS tasks each, and ranks are exact whatever the quantiles' error.
+    """
+    points = [i / BLOCKS for i in range(1, BLOCKS)]
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, points, 1000)).alias("__edges"))
+    cut = df.join(edges, by).withColumn("__block", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    sizes = cut.groupBy(*by, "__block").agg(F.count("*").alias("__rows"))
+    w = Window.partitionBy(*by)
+    sizes = sizes.select(*by, "__block", offset_before("__rows", w.orderBy("__block")).alias("__before"), F.sum("__rows").over(w).alias("__all"))
+    return cut.join(sizes, [*by, "__block"])
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """(by, a column for each of parts): exact percentiles with linear interpolation, from ranks in blocks."""
+    rows = blocked(df.where(F.col(value).isNotNull()).select(*by, value), by, value)
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__block").orderBy(value)) + F.col("__before") - 1)
+    outs = []
+    for name, p in parts.items():
+        place = F.lit(p) * (F.col("__all") - 1)
+        low, high = (F.max(F.when(F.col("__r") == f(place), F.col(value))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        outs.append((low + part * (high - low)).alias(name))
+    return rows.groupBy(*by).agg(*outs)
