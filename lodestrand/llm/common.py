@@ -56,6 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that one task deals with in less time than a shuffle takes (a few megabytes of narrow rows).
+FEW = 200_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df cut, in one partition if it has FEW rows or less, so that what follows on it needs no shuffle; more rows stay spread."""
+    df = cut(df)
+    return df.coalesce(1) if df.count() <= FEW else df
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False):
     """run for mapInArrow; at a task's end what it freed goes back to the system, as workers outlive tasks and stages.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, blocks, cut, mix, packed, ready, shingle_sets, text_bytes, tidy, U, unpacked
+from .common import BLOCK_BYTES, blocks, cut, gathered, mix, packed, ready, shingle_sets, text_bytes, tidy, U, unpacked
 from .graph import components
 
 #: Most frequent shingles that are told to every task, as 8-byte hashes (4 MB). They only set the order in which a
@@ -296,10 +296,12 @@ def _moved(*columns: np.ndarray) -> np.ndarray:
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, z): the compressed text of the smallest document of each class in wanted(cls); for a repeated doc_id also its other texts."""
-    reps = cut(wanted.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL"))
-    if reps.count() <= TOLD_IDS:
-        return packed(docs.join(F.broadcast(reps), "doc_id").select("cls", "text"))
-    return packed(docs).join(reps, "doc_id").select("cls", "z")
+    reps = gathered(wanted.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").where("doc_id IS NOT NULL"))
+    if (many := reps.count()) <= TOLD_IDS:
+        found = cut(packed(docs.join(F.broadcast(reps), "doc_id").select("cls", "text")))
+        # a scan's task for few texts each would make a small file of a shuffle for each
+        return found.coalesce(1 + many // 5000)
+    return cut(packed(docs).join(reps, "doc_id").select("cls", "z"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -347,16 +349,16 @@ def _stars(hot: DataFrame, docs: DataFrame, classes: DataFrame, threshold: Fract
         one = F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")), F.xxhash64("cls", "tok", F.lit(k))).alias("one")
         centres = own.groupBy("tok").agg(one, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok", "one.*")
         met = own.join(centres, "tok").where(f"comp <> comp_a AND least(n, n_a) * {q} >= greatest(n, n_a) * {p}").select("a", F.col("cls").alias("b")).distinct()
-        pairs = cut(_possible(met, classes, threshold).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b"))
+        pairs = gathered(_possible(met, classes, threshold).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b"))
         tried = pairs.count()
         if not tried:
             break
-        texts = texts if texts is not None else cut(_texts(docs, classes, hot))
-        new = cut(_verified(pairs, texts, threshold))
+        texts = texts if texts is not None else _texts(docs, classes, hot)
+        new = gathered(_verified(pairs, texts, threshold))
         linked = new.count()
         if linked:
             links = new if links is None else links.unionByName(new)
-            groups = cut(_grouped(links))
+            groups = gathered(_grouped(links))
         if linked < WORTH * tried:
             break
     return links, groups
@@ -402,8 +404,8 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     entries = entries.repartition("tok", "salt").distinct()
     shared = cut(entries.withColumn("rows", F.count("*").over(Window.partitionBy("tok", "salt"))).where("told OR rows > 1").withColumn("hot", F.col("told") | (F.col("rows") > HOT_ROWS)).select("tok", "cls", "n", "hot", "rows"))
     hot = shared.where("hot").select("tok", "cls", "n")
-    hot = cut(hot.join(hot.groupBy("tok").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("tok"), "tok"))
-    signed = cut(classes.join(hot.select("cls").distinct(), "cls"))
+    hot = gathered(hot.join(hot.groupBy("tok").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("tok"), "tok"))
+    signed = gathered(classes.join(hot.select("cls").distinct(), "cls"))
     links, groups = _stars(hot, docs, signed, threshold)
     # what is left between components: hot buckets with bitmaps, as most pairs there would be between unlike sets
     own = _with_component(hot, groups)
@@ -417,13 +419,13 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     near = met.where(_often_enough(threshold)).select("a", "b")
     if groups is not None:
         near = _with_component(_with_component(near, groups, "a", "c"), groups, "b", "d").where("c <> d").select("a", "b")
-    near = cut(_possible(near, classes, threshold).select("a", "b"))
+    near = gathered(_possible(near, classes, threshold).select("a", "b"))
     # each pair goes by the class with more pairs, so no class is the other side of many
     degree = near.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
     for x in "ab":
         near = near.join(degree.select(F.col("x").alias(x), F.col("d").alias(f"d_{x}")), x)
     near = near.select(*(F.when(F.col("d_a") >= F.col("d_b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in ("ab", "ba")))
-    texts = cut(_texts(docs, classes, near.select(F.explode(F.array("a", "b")).alias("cls"))))
+    texts = _texts(docs, classes, near.select(F.explode(F.array("a", "b")).alias("cls")))
     more = cut(_verified(near, texts, threshold))
     linked = _grouped(more if links is None else links.unionByName(more))
     named = _with_component(classes.select("cls", "rep"), linked, "cls", "component")
