@@ -37,7 +37,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Suffix arrays and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py compares run() with a version in plain Python.
+#: Suffix arrays and byte-pair merges are beyond SQL; tests check each stage on its own input.
 ORACLE_SQL = None
 
 
