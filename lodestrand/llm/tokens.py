@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
+from string import punctuation
 
 #: Stretches that a worker remembers (about 250 bytes each); beyond that it starts anew.
 REMEMBERED = 500_000
 #: Stretches encoded at once; the library's encodings are far larger than their ids, and past the processor's caches cost more.
 ENCODED = 100
+#: Beyond Latin letters, and the one of them that grows in lower case: here normal forms and case may depend on the neighbours.
+BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: printable ones stand for themselves, the others count on from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class _Encoder:
@@ -19,21 +33,51 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], {}
+        self.tokenizer, self.kind, self.known, self.parts = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], {}, {"": b""}
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, keys: set, texts) -> None:
-        keys = [k for k in keys if k not in self.known]
-        for i in range(0, len(keys), ENCODED):
-            part = keys[i : i + ENCODED]
-            for k, e in zip(part, self.tokenizer.encode_batch_fast(texts(part), add_special_tokens=False)):
-                self.known[k] = array(self.kind, e.ids).tobytes()
+    def learn(self, words: dict) -> None:
+        """Remembers the ids of new words (key to text), each cut in a core and the ASCII punctuation at its end.
+
+        Both tokenizers' patterns end a match between a letter or digit and punctuation. A core of letters alone (after
+        one space, perhaps) and such an end are one match each, so they go to the library's merges straight, without its
+        far dearer normalizer and pattern; all else, words beyond Latin or with `<|` as in special tokens too, goes to
+        the whole library.
+        """
+        parts, cut, other, merge = self.parts, {}, [], self.tokenizer.model.tokenize
+        for k, word in words.items():
+            core, latin = word, word.isascii() or not BEYOND_LATIN.search(word)
+            if latin and "<|" not in word:
+                core = word.rstrip(punctuation)
+                if not core[-1:].isalnum():
+                    core = word
+            tail = word[len(core) :]
+            cut[k] = core, tail
+            if core not in parts:
+                if latin and core.removeprefix(" ").isalpha():
+                    parts[core] = self.merged(merge, core)
+                else:
+                    other.append(core)
+            if tail not in parts:
+                parts[tail] = self.merged(merge, tail)
+        for i in range(0, len(other), ENCODED):
+            some = other[i : i + ENCODED]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                parts[p] = array(self.kind, e.ids).tobytes()
+        for k, (core, tail) in cut.items():
+            self.known[k] = parts[core] + parts[tail] if tail else parts[core]
+
+    def merged(self, merge, match: str) -> bytes:
+        letters = match.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.kind, [t.id for t in merge(letters)]).tobytes()
 
     def room(self) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
 
 
 class ByteLevel(_Encoder):
@@ -49,8 +93,7 @@ class ByteLevel(_Encoder):
         new = set()
         for p in parts:
             new.update(p[1:])
-        new.difference_update(self.known)
-        self.learn({k for k in new if k and not k[0].isspace() and not k[-1].isspace()}, lambda keys: [" " + k for k in keys])
+        self.learn({k: " " + k for k in new if k not in self.known and k and not k[0].isspace() and not k[-1].isspace()})
         known, out = self.known, []
         for text, p in zip(texts, parts):
             try:
@@ -63,7 +106,13 @@ class ByteLevel(_Encoder):
 
 
 class WordLevel(_Encoder):
-    """For tokenizers that drop white space and keep no context across it: words at ASCII white space stand alone."""
+    """For tokenizers that drop white space and case and keep no context across it: words at ASCII white space stand alone."""
+
+    @staticmethod
+    def folded(word: bytes) -> str:
+        """In lower case, as the tokenizer has it; beyond Latin that is left to the tokenizer."""
+        text = word.decode()
+        return text.lower() if word.isascii() or not BEYOND_LATIN.search(text) else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.room()
@@ -71,7 +120,7 @@ class WordLevel(_Encoder):
         new = set()
         for p in parts:
             new.update(p)
-        self.learn(new - self.known.keys(), lambda keys: [k.decode() for k in keys])
+        self.learn({k: self.folded(k) for k in new if k not in self.known})
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
