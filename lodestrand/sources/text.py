@@ -65,8 +65,8 @@ def bed(df: DataFrame) -> DataFrame:
 
 
 def fasta(spark: SparkSession, paths) -> DataFrame:
-    """(id, description, seq) of FASTA records (S7); Spark splits the file at `>`."""
-    records = spark.read.option("lineSep", ">").text(paths).where(F.trim("value") != "")
+    """(id, description, seq) of FASTA records (S7); Spark splits the file at lines that begin with `>`."""
+    records = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
     return records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("id"), F.trim(head).alias("description"), F.regexp_replace(body, r"\s", "").alias("seq"))

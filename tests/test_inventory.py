@@ -73,7 +73,7 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('# c\nI\ts\tgene\t11\t20\t.\t+\t.\tgene_id "g1"; name "n"; gene_id "g2";\nshort\n')
     row = text.gtf(text.lines(spark, str(tmp_path / "a.gtf")), zero_based=True).first()
     assert (row["start"], row["end"], row["attrs"]) == (10, 20, {"name": "n", "gene_id": "g2"})
-    (tmp_path / "a.fa").write_text(">chrI first\nACGT\nac\n>chrII\nNN\n")
+    (tmp_path / "a.fa").write_text(">chrI a>b\nACGT\nac\n>chrII\nNN\n")
     assert sorted(tuple(r) for r in text.fasta(spark, str(tmp_path / "a.fa")).select("id", "seq").collect()) == [("chrI", "ACGTac"), ("chrII", "NN")]
     (tmp_path / "a.vcf").write_text("##x\nchrI\t5\t.\tA\tC,G\t1\tPASS\tAC=3;AN=6\n")
     row = text.vcf(text.lines(spark, str(tmp_path / "a.vcf"))).select("alleles", text.allele_frequency(F.col("info")).alias("af")).first()
