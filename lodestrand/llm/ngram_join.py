@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, blocks, cut, gathered, mix, packed, ready, shingle_sets, text_bytes, tidy, U, unpacked
+from .common import BLOCK_BYTES, FEW, blocks, cut, gathered, mix, packed, ready, shingle_sets, text_bytes, tidy, U, unpacked
 from .graph import components
 
 #: Most frequent shingles that are told to every task, as 8-byte hashes (4 MB). They only set the order in which a
@@ -316,9 +316,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Fraction) -> DataFr
 
     Pairs go by their class a; one with more than GROUP pairs is dealt out, with a copy of its text for each GROUP.
     """
+    # few pairs go to the texts, so that texts move once, to their group; more pairs and the texts meet by class first
+    told = F.broadcast if pairs.count() <= FEW else (lambda df: df)
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    side = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    own = many.join(texts.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "z")
+    side = told(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    own = told(many).join(texts.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "z")
     rows = own.unionByName(side.join(texts.withColumnRenamed("cls", "b"), "b"))
     # a null b comes first
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(tidy(_exact(threshold)), "a long, b long")
@@ -364,8 +366,11 @@ def _stars(hot: DataFrame, docs: DataFrame, classes: DataFrame, threshold: Fract
     return links, groups
 
 
-def _tiled(rows: DataFrame, threshold: Fraction, bits: DataFrame | None = None) -> DataFrame:
-    """(a, b, met): pairs of rows(tok, cls, n, comp, rows) that meet in tiles; rows: how many the bucket of tok has. See _tiles."""
+def _tiled(rows: DataFrame, threshold: Fraction, bits: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """(a, b, met): pairs of rows(tok, cls, n, comp, rows) that meet in tiles; rows: how many the bucket of tok has. See _tiles.
+
+    together: a partition of rows has all of its buckets' rows, so tiles are made in place.
+    """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))
     reach = int(np.ceil(np.log(float(1 / threshold)) / np.log(BAND) - 1e-9))
     rows = rows.withColumns({"n": F.col("n").cast("long"), "band": band, "parts": F.ceil(F.col("rows") / TILE_ROWS)}).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
@@ -376,7 +381,7 @@ def _tiled(rows: DataFrame, threshold: Fraction, bits: DataFrame | None = None)
     if bits is not None:
         tiles = tiles.join(bits.select("cls", "bits"), "cls")
     tile = ("tok", "k", "p", "q")
-    return tiles.repartition(*tile).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold, bits is not None)), "a long, b long, met long")
+    return (tiles if together else tiles.repartition(*tile)).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold, bits is not None)), "a long, b long, met long")
 
 
 def _often_enough(threshold: Fraction) -> str:
@@ -399,19 +404,21 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     often = base.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id").toPandas()
     told = spark.sparkContext.broadcast(np.sort(often["id"].to_numpy(np.int64).view(np.uint64)).tobytes())
     classes = cut(base.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    # rows of a frequent shingle are dealt out, all others of a shingle come together and are counted
+    # rows of a frequent shingle are dealt out, all others of a shingle come together and are counted; a checkpoint keeps
+    # partitions as they are, so cold buckets (all rows have salt 0) need no other shuffle to be tiled
     entries = docs.mapInArrow(tidy(_entries(told, threshold)), ENTRIES).withColumn("salt", F.when(F.col("told"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0)))
     entries = entries.repartition("tok", "salt").distinct()
     shared = cut(entries.withColumn("rows", F.count("*").over(Window.partitionBy("tok", "salt"))).where("told OR rows > 1").withColumn("hot", F.col("told") | (F.col("rows") > HOT_ROWS)).select("tok", "cls", "n", "hot", "rows"))
     hot = shared.where("hot").select("tok", "cls", "n")
     hot = gathered(hot.join(hot.groupBy("tok").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("tok"), "tok"))
-    signed = gathered(classes.join(hot.select("cls").distinct(), "cls"))
+    in_hot = hot.select("cls").distinct()
+    signed = gathered(classes.join(F.broadcast(in_hot) if hot.count() <= FEW else in_hot, "cls"))
     links, groups = _stars(hot, docs, signed, threshold)
     # what is left between components: hot buckets with bitmaps, as most pairs there would be between unlike sets
     own = _with_component(hot, groups)
     open_ = own.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
     met = _tiled(own.join(open_.select("tok", "rows"), "tok"), threshold, signed)
-    met = met.unionByName(_tiled(shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows"), threshold))
+    met = met.unionByName(_tiled(shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows"), threshold, together=True))
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"))
     size = classes.select("cls", "n")
     for x in "ab":
