@@ -10,6 +10,7 @@ from ..operators import intervals as I  # noqa: E741
 from ..operators import metrics as M
 from ..operators import tracks as K
 from ..operators import windows as W
+from ..sources import text as X
 from .inventory import COVERED, HITS, OVER, PEAKS, SCORED, SPANS, STEPS, Tables, both, query
 
 ID = ["chrom", "start", "end", "id", "line"]
@@ -342,3 +343,16 @@ def dependency(t: Tables):
     d = t.lineitem.groupBy((F.col("l_suppkey") % 5).alias("g"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("base")).agg(F.log(F.avg("l_tax") + 0.01).alias("v"))
     pairs = d.alias("x").join(d.alias("y"), ["g", "base"]).where("x.pos < y.pos")
     return pairs.groupBy(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).agg(F.round(F.max(F.abs(F.col("x.v") - F.col("y.v"))), 6).alias("effect"))
+
+
+# tables, sinks and densities
+both("d4_tss_table", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).otherwise(F.col("l_partkey") + F.col("l_linenumber")).alias("tss")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_partkey + l_linenumber END AS tss FROM lineitem")
+both("k4_fasta_lines", lambda t: X.fasta_lines(t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("seq"))), "SELECT '>' || p_partkey || chr(10) || p_name AS value FROM part")
+both("k8_statistics", lambda t: t.orders.agg(*(F.count_if(F.col("o_orderstatus") == k).alias(k) for k in "FOP")).select(F.to_json(F.struct("F", "O", "P")).alias("json")),
+     """SELECT '{"F":' || count(*) FILTER (o_orderstatus = 'F') || ',"O":' || count(*) FILTER (o_orderstatus = 'O') || ',"P":' || count(*) FILTER (o_orderstatus = 'P') || '}' AS json FROM orders""")
+both("s26_xml_scalar", lambda t: t.supplier.select("s_suppkey", X.xml_scalar(F.concat(F.lit("<r><a>x</a><LEVEL>"), F.col("s_nationkey").cast("string"), F.lit("</LEVEL></r>")), "LEVEL").alias("level"), X.xml_scalar(F.lit("<r><a>x</a></r>"), "LEVEL").alias("none")),
+     "SELECT s_suppkey, s_nationkey::VARCHAR AS level, NULL::VARCHAR AS none FROM supplier")
+both("s27_json_keys", lambda t: t.events.select("event_id", F.array_join(X.json_keys(F.to_json(F.struct("user_id", F.when(F.col("value") > 50, F.col("value")).alias("value")))), ",").alias("keys")),
+     "SELECT event_id, CASE WHEN value > 50 THEN 'user_id,value' ELSE 'user_id' END AS keys FROM events")
+both("m15_density", lambda t: M.density(t.customer.select(F.col("c_acctbal").cast("double").alias("v")), "v", [500.0 * i for i in range(20)]).select("x", F.round(F.col("density") * 1000, 6).alias("density")),
+     "WITH v AS (SELECT c_acctbal::DOUBLE AS v FROM customer), o AS (SELECT count(*) AS n, stddev_samp(v) * count(*) ** -0.2 AS h FROM v) SELECT x, round(1000 * sum(exp(-0.5 * ((x - v) / h) ** 2) / (n * h * sqrt(2 * pi()))), 6) AS density FROM v, o, (SELECT 500.0::DOUBLE * unnest(range(20)) AS x) GROUP BY x")

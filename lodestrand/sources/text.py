@@ -124,6 +124,17 @@ def html_rows(df: DataFrame, column: str = "value", cell: str = "t[dh]") -> Data
     return df.select("*", F.posexplode(rows).alias("row_no", "row")).select(*[c for c in df.columns if c != column], "row_no", cells.alias("cells"))
 
 
+def xml_scalar(column, tag: str) -> Column:
+    """The text of the first <tag> of an XML document, null if there is none."""
+    found = F.xpath_string(column, F.lit(f"//{tag}[1]"))
+    return F.when(found != "", found)
+
+
+def json_keys(column) -> Column:
+    """The keys of a JSON object in order (S27); null if it is none."""
+    return F.json_object_keys(column)
+
+
 def newick_edges(text: str) -> list[tuple[int, int, str, float | None]]:
     """(node, parent, name, length) of a Newick tree, the root's parent is -1 (S29). A tree is metadata and fits the driver."""
     out: list[list] = [[0, -1, "", None]]
@@ -175,6 +186,7 @@ def vcf_lines(df: DataFrame) -> DataFrame:
 
 
 def fasta_lines(df: DataFrame) -> DataFrame:
+    """Two lines for each record of df(id, seq) (K4)."""
     return df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value"))
 
 
