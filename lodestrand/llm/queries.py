@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_text, ngram_join, packing, piece_codec, quality, secrets, suffix_dedup, token_files
+from . import chat, embed_dedup, html_text, ngram_join, packing, phrases, piece_codec, quality, secrets, suffix_dedup, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -63,6 +63,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op3_quality_rules, op4_sentencepiece, op5_ngram_jaccard_join, op6_suffix_array_dedup, op7_embedding_near_dedup,
-    op8_html_extraction, op9_secret_scans, op10_token_output, pipeline,
+    op8_html_extraction, op9_secret_scans, op10_token_output, op11_phrase_collocations, pipeline,
 )}
 
 ORACLES: dict[str, str] = {}
@@ -147,3 +151,19 @@ SELECT doc_id, {', '.join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in secr
 
 
 ORACLES["op9_secret_scans"] = _secrets_sql()
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\x20\x09]+') IF x <> ''] AS w FROM d),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, w, count(*) AS a FROM (SELECT lang, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)) GROUP BY lang, w),
+c AS (SELECT * FROM f WHERE len(w) > 1 AND a >= 30),
+cuts AS (SELECT lang, w, a, k, w[1:k] AS x, w[k + 1:] AS y FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.w, cuts.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * cuts.a) // (l.a + r.a) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.w = x JOIN f r ON r.lang = cuts.lang AND r.w = y),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+parts AS (SELECT lang, w, a, n, unnest(range(1, len(w) - n + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < len(w)),
+within AS (SELECT lang, w[i:i + n - 1] AS w, max(a) AS longer FROM parts GROUP BY 1, 2),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN within USING (lang, w) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
