@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, embed_dedup, html_text, ngram_join, packing, phrases, piece_codec, quality, secrets, suffix_dedup, token_files
+from . import alignment, chat, embed_dedup, html_text, ngram_join, packing, phrases, pii, piece_codec, quality, secrets, suffix_dedup, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -71,6 +71,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op3_quality_rules, op4_sentencepiece, op5_ngram_jaccard_join, op6_suffix_array_dedup, op7_embedding_near_dedup,
     op8_html_extraction, op9_secret_scans, op10_token_output, op11_phrase_collocations,
-    op12_cross_tokenizer_alignment, pipeline,
+    op12_cross_tokenizer_alignment, op13_pii, pipeline,
 )}
 
 ORACLES: dict[str, str] = {}
