@@ -91,6 +91,12 @@ def blocked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return cut.join(sizes, [*by, "__block"])
 
 
+def ranked_rows(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with rank, from 1, in its group's order of a unique number, in blocks of values."""
+    row = F.row_number().over(Window.partitionBy(*by, "__block").orderBy(value))
+    return blocked(df, by, value).withColumn("rank", F.col("__before") + row).drop("__block", "__before", "__all")
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, parts: dict[str, float]) -> DataFrame:
     """(by, a column for each of parts): exact percentiles with linear interpolation, from ranks in blocks."""
     rows = blocked(df.where(F.col(value).isNotNull()).select(*by, value), by, value)

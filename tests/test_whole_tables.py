@@ -10,7 +10,7 @@ import pytest
 
 from lodestrand.functions import columns
 from lodestrand.operators import windows
-from lodestrand.plans import inventory
+from lodestrand.plans import inventory, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 INTERVALS = sorted(k for k, v in inventory.ORACLES.items() if v.startswith(f"WITH {inventory.PEAKS}"))
@@ -29,7 +29,10 @@ def whole(sql):
 
 
 def test_interval_queries_are_found():
-    assert len(INTERVALS) == 16
+    assert {
+        "j10_overlap_join", "j11_closed_overlap", "j12_overlap_flag", "j13_not_overlapping", "j14_window_counts", "j15_overlapping_ids", "j16_containment", "j17_intersect", "j18_subtract", "j19_nearest",
+        "j20_distance_band", "j28_peak_mask", "a14_merge", "a15_base_jaccard", "a16_bin_confusion", "a36_coverage", "w8_complement",
+    } <= set(INTERVALS)
 
 
 @pytest.mark.parametrize("name", INTERVALS)
