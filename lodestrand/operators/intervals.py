@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import WIDTH, scan
+
 KEY, START, END = "chrom", "start", "end"
 
 
@@ -45,20 +47,20 @@ def clipped(pairs: DataFrame) -> DataFrame:
 
 
 def merged(df: DataFrame, by: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """Unions of intervals that overlap or touch."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.coalesce((F.col("start") > far).cast("int"), F.lit(1)))
-    marked = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+    """Unions of intervals that overlap or touch (A14): of each start the furthest end, scanned in blocks of positions."""
+    own = list(by)
+    first = df.groupBy(*own, "start").agg(F.max("end").alias("end"))
+    far = scan(first, own, "start", {"__far": ("max", F.col("end"))})
+    new = F.when(F.col("__far").isNull() | (F.col("start") > F.col("__far")), F.col("start"))
+    named = scan(far.withColumn("__new", new), own, "start", {"__island": ("last", F.col("__new"))}).withColumn("__island", F.coalesce("__new", "__island"))
+    return named.groupBy(*own, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
 def complement(df: DataFrame, sizes: DataFrame) -> DataFrame:
     """Gaps between merged intervals from 0 to sizes(chrom, size)."""
     ends = sizes.select("chrom", F.col("size").alias("start"), F.col("size").alias("end"))
-    every = merged(df).select("chrom", "start", "end").unionByName(ends)
-    before = F.coalesce(F.lag("end").over(Window.partitionBy("chrom").orderBy("start", "end")), F.lit(0))
-    return every.select("chrom", before.alias("start"), F.col("start").alias("end")).where("start < `end`")
+    every = scan(merged(df).select("chrom", "start", "end").unionByName(ends), ["chrom"], "start", {"__before": ("last", F.col("end"))}, (F.col("end"),))
+    return every.select("chrom", F.coalesce("__before", F.lit(0)).alias("start"), F.col("start").alias("end")).where("start < `end`")
 
 
 def subtract(left: DataFrame, right: DataFrame, sizes: DataFrame, bin_width: int) -> DataFrame:
@@ -70,15 +72,13 @@ def subtract(left: DataFrame, right: DataFrame, sizes: DataFrame, bin_width: int
 def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     """queries(chrom, pos, ...) with the nearest of points(chrom, point): point and signed distance point - pos.
 
-    Of two at one distance the left one. One pass over the union in order: the last point before, the first at or after.
+    Of two at one distance the left one. One scan of the union in order: the last point before, the first at or after.
     """
     extra = [c for c in queries.columns if c not in ("chrom", "pos")]
     q = queries.select("chrom", "pos", F.lit(None).cast("bigint").alias("point"), F.struct(*extra).alias("__q") if extra else F.struct(F.lit(1).alias("x")).alias("__q"), F.lit(1).alias("kind"))
     p = points.select("chrom", F.col("point").alias("pos"), "point", F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.lit(0).alias("kind")).distinct()
-    up = Window.partitionBy("chrom").orderBy("pos", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    # the reverse order, so that this frame grows too: a frame that shrinks is summed anew for every row
-    down = Window.partitionBy("chrom").orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = q.unionByName(p).select("*", F.last("point", True).over(up).alias("left"), F.last("point", True).over(down).alias("right")).where("kind = 1")
+    # at one position queries come before points, so that a point there is on their right
+    both = scan(q.unionByName(p), ["chrom"], "pos", {"left": ("last", F.col("point")), "right": ("next", F.col("point"))}, (-F.col("kind"),)).where("kind = 1")
     take_left = F.col("right").isNull() | (F.col("pos") - F.col("left") <= F.col("right") - F.col("pos"))
     point = F.when(F.col("left").isNotNull() & take_left, F.col("left")).otherwise(F.col("right"))
     return both.select("chrom", "pos", *(F.col(f"__q.{c}") for c in extra), point.alias("point"), (point - F.col("pos")).alias("distance"))
@@ -104,12 +104,18 @@ def coverage(df: DataFrame) -> DataFrame:
     """Runs (chrom, start, end, depth) of how many intervals cover each position, depth over 0."""
     edges = df.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("d")).union(df.select("chrom", "end", F.lit(-1)))
     edges = edges.groupBy("chrom", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("chrom").orderBy("pos")
-    runs = edges.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return runs.where("depth > 0 AND `end` IS NOT NULL")
+    steps = scan(edges, ["chrom"], "pos", {"__depth": ("sum", F.col("d")), "__next": ("next", F.col("pos"))})
+    return steps.select("chrom", F.col("pos").alias("start"), F.col("__next").alias("end"), (F.col("__depth") + F.col("d")).alias("depth")).where("depth > 0 AND `end` IS NOT NULL")
 
 
 def most_in_window(df: DataFrame, width: int) -> DataFrame:
-    """The largest number of mids in any [mid, mid + width) of a chromosome."""
-    n = F.count("*").over(Window.partitionBy("chrom").orderBy("mid").rangeBetween(0, width - 1))
-    return df.select("chrom", n.alias("n")).groupBy("chrom").agg(F.max("n").alias("most"))
+    """The largest number of mids in any [mid, mid + width) of a chromosome.
+
+    Mids are counted by position; a block of positions, as wide as a window or wider, also sees the mids of the next one.
+    """
+    step = max(WIDTH, width)
+    at = df.where("mid IS NOT NULL").groupBy("chrom", "mid").agg(F.count("*").alias("c"))
+    own = F.floor(F.col("mid") / step)
+    filed = at.withColumn("__b", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own - 1).alias("b"), F.lit(False).alias("own"))))).select("chrom", "mid", "c", "__b.b", "__b.own")
+    n = F.sum("c").over(Window.partitionBy("chrom", "b").orderBy("mid").rangeBetween(0, width - 1))
+    return filed.select("chrom", "own", n.alias("n")).where("own").groupBy("chrom").agg(F.max("n").alias("most"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .scan import counted, running_sums
 
 
 def _steps(df: DataFrame, by: list[str]) -> DataFrame:
     """Per group and distinct score, from the highest: counts of positives and all, and their running sums."""
     at = df.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull()).groupBy(*by, "score").agg(F.sum("label").cast("bigint").alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(*by, "score", "p", (F.col("n") - F.col("p")).alias("q"), F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"))
+    at = running_sums(at.withColumn("q", F.col("n") - F.col("p")), by, "score", {"tp": "p", "fp": "q"}, descending=True)
+    return at.select(*by, "score", "p", "q", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("q")).alias("fp"))
 
 
 def roc_pr(df: DataFrame, by: list[str], least: int = 10) -> DataFrame:
@@ -28,9 +28,9 @@ def roc_pr(df: DataFrame, by: list[str], least: int = 10) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    s = _steps(df, by)
-    return s.select(*by, "score", (F.col("tp") / F.max("tp").over(w)).alias("tpr"), (F.col("fp") / F.max("fp").over(w)).alias("fpr"))
+    s = _steps(df, by).withColumn("__key", F.struct(*by))
+    most = s.groupBy("__key").agg(F.max("tp").alias("__p"), F.max("fp").alias("__q"))
+    return s.join(most, "__key").select(*by, "score", (F.col("tp") / F.col("__p")).alias("tpr"), (F.col("fp") / F.col("__q")).alias("fpr"))
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -39,10 +39,22 @@ def guarded_corr(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson of the average ranks, per group (M8); ranks come from blocks of values, see windows.blocked."""
-    known = df.na.drop(subset=[x, y]).select(*by, x, y)
-    ranked = average_rank(average_rank(known, by, x, "__x"), by, y, "__y")
-    return ranked.groupBy(*by).agg(guarded_corr("__x", "__y").alias("spearman"))
+    """Pearson of the average ranks, per group (M8). Rows are counted by value on each side; the ranks of those short tables
+    are scanned in blocks of values and meet the rows, counted by both values, once."""
+    pairs = df.na.drop(subset=[x, y]).groupBy(*by, x, y).agg(F.count("*").alias("n"))
+
+    def ranks(v: str, name: str) -> DataFrame:
+        at = running_sums(pairs.groupBy(*by, v).agg(F.sum("n").alias("n")), by, v, {"before": "n"})
+        return at.select(F.struct(*by).alias("__key"), v, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+
+    ranked = pairs.withColumn("__key", F.struct(*by)).join(ranks(x, "__rx"), ["__key", x]).join(ranks(y, "__ry"), ["__key", y])
+    a, b, n = F.col("__rx"), F.col("__ry"), F.col("n")
+    # about the ranks' mean, which is (rows + 1) / 2 in each group
+    mean = pairs.groupBy(F.struct(*by).alias("__key")).agg(((F.sum("n") + 1) / 2).alias("__m"))
+    centred = ranked.join(mean, "__key")
+    da, db = a - F.col("__m"), b - F.col("__m")
+    out = centred.groupBy(*by).agg(F.sum(n * da * db).alias("ab"), F.sum(n * da * da).alias("aa"), F.sum(n * db * db).alias("bb"))
+    return out.select(*by, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("spearman"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -60,8 +72,7 @@ def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
     scores. p is the normal approximation with continuity correction.
     """
     at = df.na.drop(subset=["label", "score"]).groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count("*").alias("t"))
-    below = F.sum("t").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    agg = at.withColumn("r", below + (F.col("t") + 1) / 2).groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("p") * F.col("r")).alias("r1"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
+    agg = running_sums(at, by, "score", {"below": "t"}).withColumn("r", F.col("below") + (F.col("t") + 1) / 2).groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("p") * F.col("r")).alias("r1"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
     n1, n, n0 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -75,8 +86,9 @@ def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
 def kolmogorov_smirnov(df: DataFrame, by: list[str]) -> DataFrame:
     """The largest distance between the two labels' step functions, and its asymptotic p."""
     at = df.na.drop(subset=["label", "score"]).groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w, run = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    d = at.select(*by, F.sum("p").over(w).alias("n1"), F.sum("q").over(w).alias("n0"), F.abs(F.sum("p").over(run) / F.sum("p").over(w) - F.sum("q").over(run) / F.sum("q").over(w)).alias("d"))
+    run = running_sums(at, by, "score", {"pb": "p", "qb": "q"}).withColumn("__key", F.struct(*by))
+    run = run.join(at.groupBy(F.struct(*by).alias("__key")).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0")), "__key")
+    d = run.select(*by, "n1", "n0", F.abs((F.col("pb") + F.col("p")) / F.col("n1") - (F.col("qb") + F.col("q")) / F.col("n0")).alias("d"))
     d = d.groupBy(*by).agg(F.max("d").alias("ks"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
     x = F.col("ks") * F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
     series = sum((F.exp(-2.0 * k * k * x * x) * (1 if k % 2 else -1) for k in range(1, 21)), F.lit(0.0))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 
 def breakpoints(a: DataFrame, b: DataFrame) -> DataFrame:
     """Segments (chrom, start, end, a, b) between all edges of two sets of intervals, with how many of each cover them.
 
-    One ordered pass over the edges, summed by position first, so a position that many intervals share is one row.
+    One scan of the edges, summed by position first, so a position that many intervals share is one row.
     """
     edges = lambda df, x, y: df.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("e")).select("chrom", "e.pos", (F.col("e.d") * x).alias("a"), (F.col("e.d") * y).alias("b"))
     at = edges(a, 1, 0).union(edges(b, 0, 1)).groupBy("chrom", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    order = Window.partitionBy("chrom").orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    cut = at.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), F.sum("a").over(so_far).alias("a"), F.sum("b").over(so_far).alias("b"))
+    so_far = scan(at, ["chrom"], "pos", {"__a": ("sum", F.col("a")), "__b": ("sum", F.col("b")), "__next": ("next", F.col("pos"))})
+    cut = so_far.select("chrom", F.col("pos").alias("start"), F.col("__next").alias("end"), (F.col("__a") + F.col("a")).alias("a"), (F.col("__b") + F.col("b")).alias("b"))
     return cut.where("`end` IS NOT NULL AND (a > 0 OR b > 0)")
 
 
