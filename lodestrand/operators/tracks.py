@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .scan import scan
 
 
@@ -109,23 +115,46 @@ def matched_negatives(positives: DataFrame, candidates: DataFrame, key: list[str
     return a.join(b.select(*key, "rank", "negative"), [*key, "rank"], "left").drop("rank")
 
 
-def pwm_scan(df: DataFrame, by: list[str], seq: str, weights: list[list[float]], part: float) -> DataFrame:
-    """(by, score, place, strand): the best hit of a matrix (rows over ACGT) in a sequence, on either strand, from `part` of the perfect score (Q14).
-
-    Of equal scores the + strand's first one. Other letters add nothing. Scores stay in the JVM, as one array expression.
+def _best_hits(motifs: list[tuple[str, list[list[float]], float]], seq: str, others: list[str]):
+    """Each row's best hit of each motif, of those that reach its part of the perfect score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.full(256, 4, np.uint8)
+        code[list(b"ACGT")] = range(4)
+        for batch in batches:
+            rows, out = [], []
+            for row, text in enumerate(batch.column(seq).to_pylist()):
+                if text is None:
+                    continue
+                letters = code[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]  # a letter each, whatever it is
+                for name, weights, part in motifs:
+                    width, hits = len(weights), []
+                    if len(letters) < width:
+                        continue
+                    for plus, matrix in ((True, weights), (False, [w[::-1] for w in weights[::-1]])):
+                        table = np.column_stack((np.array(matrix, float), np.zeros(width)))
+                        score = sum(table[k][letters[k : len(letters) - width + k + 1]] for k in range(width))
+                        place = int(score.argmax())
+                        hits.append((float(score[place]), plus, -place))
+                    score, plus, place = max(hits)
+                    if score >= part * sum(map(max, weights)):
+                        rows.append(row)
+                        out.append((name, score, -place, "+" if plus else "-"))
+            own = batch.select(others).take(pa.array(rows, pa.int64()))
+            hit = [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.string()))]
+            yield pa.record_batch([*own.columns, *hit], names=[*others, "motif", "score", "place", "strand"])
+
+    return run
+
+
+def pwm_scan(df: DataFrame, by: list[str], seq: str, motifs: dict[str, list[list[float]]], part: float) -> DataFrame:
+    """(by, motif, score, place, strand): the best hit of each motif (rows over ACGT) in each whole sequence, on either
+    strand, from `part` of its perfect score (Q14).
+
+    Of equal scores the + strand's first one. Other letters add nothing; a null sequence, or one shorter than a motif, has no hit.
     """
-    perfect = sum(map(max, weights))
-    width = len(weights)
-
-    def score(place: Column, matrix: list[list[float]]) -> Column:
-        total = F.lit(0.0)
-        for k, row in enumerate(matrix):
-            base = F.substring(F.col(seq), place + k + 1, F.lit(1))
-            total = total + F.element_at(F.array(*map(F.lit, [0.0, *row])), 1 + F.array_position(F.array(*map(F.lit, "ACGT")), base).cast("int"))
-        return total
-
-    reverse = [row[::-1] for row in weights[::-1]]
-    at = df.where(F.length(seq) >= width).withColumn("place", F.explode(F.sequence(F.lit(0), F.length(seq) - width)))
-    both = at.select(*by, "place", F.explode(F.array(*(F.struct(score(F.col("place"), m).alias("score"), F.lit(s).alias("strand")) for m, s in ((weights, "+"), (reverse, "-"))))).alias("h"))
-    best = both.groupBy(*by).agg(F.max(F.struct("h.score", (F.col("h.strand") == "+").alias("plus"), (-F.col("place")).alias("before"))).alias("b"))
-    return best.where(F.col("b.score") >= part * perfect).select(*by, "b.score", (-F.col("b.before")).alias("place"), F.when(F.col("b.plus"), "+").otherwise("-").alias("strand"))
+    ship(df.sparkSession)
+    asked = [(name, weights, part) for name, weights in motifs.items()]
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("motif", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("place", T.LongType()), T.StructField("strand", T.StringType())])
+    return df.select(*by, seq).mapInArrow(_best_hits(asked, seq, by), schema)
+

@@ -110,3 +110,20 @@ def percentiles(df: DataFrame, by: list[str], value: str, parts: dict[str, float
         part = F.max(place - F.floor(place))
         outs.append((low + part * (high - low)).alias(name))
     return rows.groupBy(*by).agg(*outs)
+
+
+def contained_keys(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """Rows of df with each of keys(key) that their text contains (J25): substrings of the keys' lengths meet keys by equality.
+
+    The different lengths are collected (a text's length bounds them); an empty key is contained in nothing.
+    """
+    lengths = sorted(r[0] for r in keys.where("length(key) > 0").select(F.length("key")).distinct().collect())
+
+    def parts(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.expr("CAST(array() AS array<string>)"))
+
+    places = [parts(n) for n in lengths]
+    if not places:
+        return df.join(keys, F.lit(False))
+    return df.withColumn("key", F.explode(F.array_distinct(F.concat(*places)))).join(keys.select("key").distinct(), "key")

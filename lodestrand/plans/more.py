@@ -72,11 +72,13 @@ def sampled_windows(t: Tables):
     return around.select(*key).join(n, key, "left").select("id", "line", "start", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("f13_fraction_windows", f"""WITH {PEAKS}, h AS (SELECT chrom, s AS start, s + 128 AS "end" FROM (SELECT chrom, unnest(range(0, max("end") - 127, 64)) AS s FROM spans GROUP BY chrom)), y AS ({COVERED} peaks)
+@query("f13_fraction_windows", f"""WITH {PEAKS}, h AS (SELECT chrom, s AS start, s + 128 AS "end" FROM (SELECT chrom, unnest(range(0, max("end") - 127, 64)) AS s FROM spans GROUP BY chrom)), y AS (SELECT chrom, x FROM (SELECT chrom, unnest(range(start, "end")) AS x FROM peaks) GROUP BY 1, 2 HAVING count(*) > 10)
   SELECT chrom, start FROM h WHERE (SELECT count(*) FROM y WHERE y.chrom = h.chrom AND y.x >= h.start AND y.x < h."end") / 128 <= 0.6""")
 def fraction_windows(t: Tables):
+    """Windows of which at most 0.6 is covered by more than ten peaks."""
     windows = I.tiles(t.spans.groupBy("chrom").agg(F.max("end").alias("size")), 128, 64)
-    part = I.clipped(I.overlap_join(windows, I.merged(t.peaks), 128)).groupBy("chrom", "start").agg((F.sum(F.col("clip_end") - F.col("clip_start")) / 128).alias("part"))
+    deep = I.coverage(t.peaks).where("depth > 10").select("chrom", "start", "end")
+    part = I.clipped(I.overlap_join(windows, deep, 128)).groupBy("chrom", "start").agg((F.sum(F.col("clip_end") - F.col("clip_start")) / 128).alias("part"))
     return windows.join(part.where("part > 0.6"), ["chrom", "start"], "left_anti").select("chrom", "start")
 
 
@@ -298,7 +300,7 @@ both("s8_fetch", lambda t: dna(t).select("doc_id", C.fetch(F.col("s"), F.lit(-5)
 both("q17_sizes", lambda t: dna(t).select("doc_id", F.length("s").alias("size")), f"SELECT doc_id, length(s) AS size FROM {S}")
 both("q18_first_of_each", lambda t: W.first_per_key(t.documents.where("text IS NOT NULL").select(F.md5("text").alias("h"), "doc_id"), ["h"], ["doc_id"]).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
 both("q6_exon_mask", lambda t: t.hits.select("chrom", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("x")).distinct().groupBy("chrom").agg(F.count("*").alias("bits")), f"WITH {HITS} SELECT chrom, count(*) AS bits FROM ({COVERED} hits) GROUP BY 1")
-both("q3_q12_round_trip", lambda t: dna(t).select("doc_id", F.substring("s", 1, 40).alias("s")).where(~F.col("s").rlike("[^ACGT]")).select("doc_id", C.from_one_hot(C.reverse_complement_matrix(C.one_hot(F.col("s")))).alias("s")), f"SELECT doc_id, reverse(translate(substr(s, 1, 40), 'ACGT', 'TGCA')) AS s FROM {S} WHERE NOT regexp_matches(substr(s, 1, 40), '[^ACGT]')")
+both("q3_q12_round_trip", lambda t: dna(t).select("doc_id", C.from_one_hot(C.reverse_complement_matrix(C.one_hot(F.col("s")))).alias("s")), f"SELECT doc_id, reverse(translate(regexp_replace(upper(s), '[^ACGT]', 'T', 'g'), 'ACGT', 'TGCA')) AS s FROM {S}")
 both("q11_q13_q15_matrix", lambda t: (lambda m: m.select("k", F.round(C.information(C.scaled(F.col("w"))), 6).alias("information"), F.round(F.aggregate(C.log_mean_ratio(C.scaled(F.col("w"))), F.lit(0.0), lambda a, x: a + x), 6).alias("log_ratio")))(t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(F.array(*(F.sum(c) + 1e-4 for c in ("l_tax", "l_discount", "l_quantity"))).alias("w"))),
      "WITH m AS (SELECT l_partkey AS k, sum(l_tax) + 1e-4 AS a, sum(l_discount) + 1e-4 AS b, sum(l_quantity) + 1e-4 AS c FROM lineitem GROUP BY 1), p AS (SELECT k, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM m) SELECT k, round(2 + a * log2(a + 1e-9) + b * log2(b + 1e-9) + c * log2(c + 1e-9), 6) AS information, round(a * ln(a * 3) + b * ln(b * 3) + c * ln(c * 3), 6) AS log_ratio FROM p")
 
@@ -328,14 +330,14 @@ def gene_slices(t: Tables):
     return bins_over_exons(t).join(mean, "bin").groupBy("id").agg(F.round(F.sum("m"), 6).alias("total"), F.count("*").alias("bins"))
 
 
-@query("q14_pwm_scan", f"""WITH w AS (SELECT doc_id, i, substr(s, i + 1, 4) AS x FROM (SELECT doc_id, s, unnest(range(0, greatest(least(length(s), 200) - 3, 0))) AS i FROM (SELECT doc_id, substr(s, 1, 200) AS s FROM {S}))),
-  c AS (SELECT doc_id, i, o, list_sum([CASE WHEN substr(x, k, 1) = substr(m, k, 1) THEN 1.5 WHEN substr(x, k, 1) IN ('A', 'C', 'G', 'T') THEN -2.0 ELSE 0.0 END FOR k IN range(1, 5)]) AS score FROM w, (SELECT 'TACG' AS m, '+' AS o UNION ALL SELECT 'CGTA', '-'))
-  SELECT doc_id, max(score) AS score, arg_max(i, {{'s': score, 'o': o = '+', 'i': -i}}) AS place, arg_max(o, {{'s': score, 'o': o = '+', 'i': -i}}) AS strand FROM c GROUP BY doc_id HAVING max(score) >= 0.8 * 6.0""")
+@query("q14_pwm_scan", f"""WITH w AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(range(0, greatest(length(s) - 3, 0))) AS i, unnest([substr(s, k, 4) FOR k IN range(1, greatest(length(s) - 2, 1))]) AS x FROM {S}) GROUP BY 1, 2),
+  m AS (SELECT * FROM (VALUES ('one', 'TACG', '+'), ('one', 'CGTA', '-'), ('two', 'GGCA', '+'), ('two', 'TGCC', '-')) AS m(motif, m, o)),
+  c AS (SELECT doc_id, i, motif, o, list_sum([CASE WHEN substr(x, k, 1) = substr(m, k, 1) THEN 1.5 WHEN substr(x, k, 1) IN ('A', 'C', 'G', 'T') THEN -2.0 ELSE 0.0 END FOR k IN range(1, 5)]) AS score FROM w, m)
+  SELECT doc_id, motif, max(score)::DOUBLE AS score, arg_max(i, {{'s': score, 'o': o = '+', 'i': -i}}) AS place, arg_max(o, {{'s': score, 'o': o = '+', 'i': -i}}) AS strand FROM c GROUP BY 1, 2 HAVING max(score) >= 0.8 * 6.0""")
 def pwm_scan(t: Tables):
-    """The first 200 bases are the scanned window, as a promoter's; the matrix prefers TACG."""
-    window = dna(t).select("doc_id", F.substring("s", 1, 200).alias("s"))
-    weights = [[1.5 if b == x else -2.0 for b in "ACGT"] for x in "TACG"]
-    return K.pwm_scan(window, ["doc_id"], "s", weights, 0.8)
+    """Two matrices over the whole texts; they prefer TACG and GGCA."""
+    motifs = {name: [[1.5 if b == x else -2.0 for b in "ACGT"] for x in best] for name, best in (("one", "TACG"), ("two", "GGCA"))}
+    return K.pwm_scan(dna(t).select("doc_id", "s"), ["doc_id"], "s", motifs, 0.8)
 
 
 @query("q16_dependency", """WITH d AS (SELECT l_suppkey % 5 AS g, l_linenumber AS pos, l_returnflag AS base, ln(avg(l_tax) + 0.01) AS v FROM lineitem GROUP BY 1, 2, 3) SELECT a.pos AS a, b.pos AS b, round(max(abs(a.v - b.v)), 6) AS effect FROM d a JOIN d b ON a.g = b.g AND a.base = b.base AND a.pos < b.pos GROUP BY 1, 2""")

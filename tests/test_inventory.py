@@ -85,3 +85,12 @@ def test_columns(spark):
     df = spark.createDataFrame([("ACGTn", "1"), ("aaN", "chromosome16"), ("", "Mito")], "s string, c string")
     got = df.select(C.reverse_complement(F.col("s")).alias("rc"), C.canonical_chromosome(F.col("c")).alias("c"), C.fetch(F.col("s"), F.lit(-2), F.lit(4)).alias("f")).collect()
     assert [tuple(r) for r in got] == [("nACGT", "chrI", "NNACGT"), ("Ntt", "chrXVI", "NNaaNN"), ("", "Mito", "NNNNNN")]
+
+
+@pytest.mark.parametrize("name", ["j5_j8_anti_join", "u4_except", "f13_fraction_windows", "j25_substring_lookup", "q3_q12_round_trip"])
+def test_rows_stay_and_rows_go(spark, name):
+    """Each keeps some of its table's rows at the size at which it is compared, and not all."""
+    sf = "/root/testdata/sf0.01"
+    whole = {"j5_j8_anti_join": "customer", "u4_except": "part", "f13_fraction_windows": "lineitem", "j25_substring_lookup": "part", "q3_q12_round_trip": "documents"}[name]
+    kept = inventory.QUERIES[name](spark, sf).count()
+    assert 0 < kept and (kept < spark.read.parquet(f"{sf}/{whole}.parquet").count() or name == "q3_q12_round_trip")
