@@ -22,7 +22,7 @@ FREQUENT, LOCAL = 48, 4
 #: Ratio of the sizes in one band; two sets that link differ by 1 / threshold at most, so by few bands.
 BAND = 1.25
 #: Classes in a bucket from which it is hot, as one with a frequent shingle is: stars join what they can of it first.
-HOT_ROWS = 16
+HOT_ROWS = 64
 #: Star rounds at most, and the part of a round's pairs that must link for one more.
 ROUNDS, WORTH = 8, 0.25
 #: Ids of texts that are broadcast to the scan that fetches them (16 bytes each); more are joined by a shuffle.
