@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I  # noqa: E741
+from ..operators import shuffles
 from ..operators.windows import ranked_rows
 from ..session import shared_folder
-from ..sources import bigwig, npz, resume, tfrecord
+from ..sources import bigwig, npz, resume, text, tfrecord
 from .inventory import PEAKS, Tables, both
+from .more import S, dna
 
 
 def folder(t: Tables, name: str) -> str:
@@ -92,3 +94,24 @@ both(
     "s17_k6_arrays", s17, "SELECT 'label' || label AS member, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row, 8::BIGINT AS height, round(list_sum([x::DOUBLE FOR x IN embedding]), 4) AS total, round(embedding[64]::DOUBLE, 4) AS last "
     "FROM embeddings WHERE len(embedding) = 64",
 )
+
+
+def s21(t: Tables):
+    """Motifs of suppliers, from counts of their line items by line number, as a MEME library, read back."""
+    path = folder(t, "motifs")
+    flags = [F.count_if(F.col("l_returnflag") == x) for x in "ANR"]
+    rows = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.array(*(c.cast("double") for c in (*flags, F.count("*")))).alias("r"))
+    motifs = rows.groupBy("l_suppkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "r"))), lambda x: x["r"]).alias("matrix"))
+    text.meme_records(motifs.select(F.concat(F.lit("supplier-"), "l_suppkey").alias("name"), "matrix")).write.text(path)
+    read = text.meme(t.spark, path)
+    return read.select("name", "width", F.posexplode("matrix").alias("pos", "r")).select("name", "width", "pos", *(F.get("r", F.lit(i)).alias(c) for i, c in enumerate("acgt")))
+
+
+both(
+    "s21_k7_motif_library", s21, "WITH r AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (l_returnflag = 'A')::DOUBLE AS a, count(*) FILTER (l_returnflag = 'N')::DOUBLE AS c, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS g, count(*)::DOUBLE AS t FROM lineitem GROUP BY 1, 2) "
+    "SELECT 'supplier-' || l_suppkey AS name, count(*) OVER (PARTITION BY l_suppkey) AS width, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) - 1 AS pos, a, c, g, t FROM r",
+)
+both(
+    "r9_window_shuffles", lambda t: shuffles.window_shuffles(dna(t).select("doc_id", "s"), "doc_id", "s", 200).select("doc_id", F.explode(F.expr("transform(sequence(1, greatest(length(shuffled) - 1, 1)), i -> substring(shuffled, i, 2))")).alias("pair")).where("length(pair) = 2").groupBy("doc_id", "pair").agg(F.count("*").alias("n")),
+    f"SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest([substr(s, k, 2) FOR k IN range(1, greatest(length(s), 1)) IF k % 200 <> 0]) AS pair FROM {S}) GROUP BY 1, 2",
+)

@@ -194,3 +194,21 @@ def meme_lines(matrix: list[list[float]], name: str) -> str:
     """A motif in MEME text (K7)."""
     rows = "\n".join(" ".join(f"{x:.6f}" for x in r) for r in matrix)
     return f"MEME version 4\n\nALPHABET= ACGT\n\nMOTIF {name}\nletter-probability matrix: alength= 4 w= {len(matrix)}\n{rows}\n"
+
+
+def meme(spark: SparkSession, paths) -> DataFrame:
+    """(name, width, matrix) of the motifs in MEME text (S21); Spark splits files at lines that begin with `MOTIF `.
+
+    The header line gives the width; so many of the number rows after it are the matrix. A motif without a header is left out.
+    """
+    records = spark.read.option("lineSep", "\nMOTIF ").text(paths).select(F.regexp_replace("value", "^MOTIF ", "").alias("value"))
+    body = F.split(F.regexp_replace("value", r"(?s)^.*?\nletter-probability matrix[^\n]*\n", ""), "\n")
+    rows = F.filter(F.transform(body, lambda x: F.trim(x)), lambda x: x.rlike(r"^[-+0-9.eE]+(\s+[-+0-9.eE]+)+$"))
+    out = records.where(F.col("value").rlike(r"\nletter-probability matrix")).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("name"), F.regexp_extract("value", r"\nletter-probability matrix[^\n]*\bw= *([0-9]+)", 1).cast("int").alias("width"), rows.alias("r"))
+    return out.select("name", "width", F.transform(F.slice("r", 1, F.col("width")), lambda x: F.split(x, r"\s+").cast("array<double>")).alias("matrix"))
+
+
+def meme_records(df: DataFrame) -> DataFrame:
+    """A value for each motif of df(name, matrix), with the line end that parts it from the next (K7): a text sink writes a library."""
+    numbers = F.array_join(F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.6f", x)), " ")), "\n")
+    return df.select(F.concat(F.lit("MOTIF "), "name", F.lit("\nletter-probability matrix: alength= 4 w= "), F.size("matrix").cast("string"), F.lit("\n"), numbers, F.lit("\n")).alias("value"))
