@@ -30,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(inventory.QUERIES))
+@pytest.mark.parametrize("name", sorted(inventory.ORACLES))
 def test_query_matches_sql(spark, duck, name):
     df = inventory.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
