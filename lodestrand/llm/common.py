@@ -119,6 +119,19 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([None if z is None else unpack(z) for z in column.to_pylist()], pa.binary()).cast(pa.string())
 
 
+#: Bytes of texts that are unpacked at once (a longer document alone).
+OPENED_BYTES = 8 << 20
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batches in parts whose column z holds at most OPENED_BYTES of text, or one row, each with its texts."""
+    for batch in batches:
+        size = [0 if z is None else zstandard.frame_content_size(z) for z in batch.column("z").to_pylist()]
+        for i, j in blocks(np.concatenate(([0], np.cumsum(size, dtype=np.int64))), OPENED_BYTES):
+            part = batch.slice(i, j - i)
+            yield part, unpacked(part.column("z"))
+
+
 def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes each, or one row."""
     i, n = 0, len(at) - 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, blocks, cut, mix, packed, Powers, prefix_hash, ready, text_bytes, tidy, U, unpacked
+from .common import BLOCK_BYTES, blocks, cut, mix, opened, packed, Powers, prefix_hash, ready, text_bytes, tidy, U
 
 #: Bytes of an anchor. A window of 100 bytes has 69 of them; about one position in 35 is some window's smallest.
 ANCHOR = 32
@@ -30,6 +30,8 @@ HOT = 20_000
 #: Bytes of strings that one merge holds at once; a bucket is never split between merges.
 MERGE_BYTES = 8 << 20
 SYMBOL = 8
+#: Strings whose symbols are cut out at once.
+STRINGS_AT_ONCE = 4096
 
 
 def anchored_runs(data: np.ndarray, length: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,8 +112,8 @@ def _strings(length: int):
     """Cuts the runs that repeat out of their documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_bytes(unpacked(batch.column("z")))
+        for batch, texts in opened(batches):
+            data, at = text_bytes(texts)
             runs = batch.column("runs")
             flat = runs.flatten()
             of = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
@@ -135,10 +137,13 @@ def columns_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int,
     """Symbols of SYMBOL bytes (big-endian) of the strings that start at `start` and go by step (1, or -1: backwards)."""
     symbols = -(-width // SYMBOL)
     place = np.arange(symbols * SYMBOL)
-    index = start[:, None] + step * place
-    inside = place < size[:, None]
-    raw = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
-    return raw.reshape(len(start), symbols, SYMBOL).view(">u8").reshape(len(start), symbols).astype(np.uint64)
+    out = np.empty((len(start), symbols), np.uint64)
+    for a in range(0, len(start), STRINGS_AT_ONCE):  # the places take eight times the bytes
+        index = start[a : a + STRINGS_AT_ONCE, None] + step * place
+        raw = data[np.clip(index, 0, len(data) - 1)]
+        raw[place >= size[a : a + STRINGS_AT_ONCE, None]] = 0
+        out[a : a + len(raw)] = raw.view(">u8")
+    return out
 
 
 def shard_order(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -310,8 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = unpacked(batch.column("z"))
+    for batch, texts in opened(batches):
         data, at = text_bytes(texts)
         total, runs, kept = [], [], []
         for i, spans in enumerate(batch.column("spans").to_pylist()):
