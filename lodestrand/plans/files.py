@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I  # noqa: E741
-from ..operators import shuffles
+from ..operators import shuffles, smoothing
 from ..operators.windows import ranked_rows
 from ..session import shared_folder
-from ..sources import bigwig, npz, resume, text, tfrecord
+from ..sources import bigwig, hdf5, npz, resume, text, tfrecord
 from .inventory import PEAKS, Tables, both
 from .more import S, dna
 
@@ -115,3 +115,59 @@ both(
     "r9_window_shuffles", lambda t: shuffles.window_shuffles(dna(t).select("doc_id", "s"), "doc_id", "s", 200).select("doc_id", F.explode(F.expr("transform(sequence(1, greatest(length(shuffled) - 1, 1)), i -> substring(shuffled, i, 2))")).alias("pair")).where("length(pair) = 2").groupBy("doc_id", "pair").agg(F.count("*").alias("n")),
     f"SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest([substr(s, k, 2) FOR k IN range(1, greatest(length(s), 1)) IF k % 200 <> 0]) AS pair FROM {S}) GROUP BY 1, 2",
 )
+
+
+def s14(t: Tables):
+    """Scores of line items in nested groups, by status and flag, read back; the mean of each group."""
+    path = folder(t, "scores")
+    member = F.concat(F.lit("scores/"), "l_linestatus", F.lit("/"), "l_returnflag")
+    hdf5.write_hdf5(t.lineitem.select(member.alias("member"), F.col("l_extendedprice").cast("double").alias("score")), path)
+    return hdf5.read_hdf5(t.spark, path, "member string, score double").groupBy("member").agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("mean"))
+
+
+both("s14_nested_scores", s14, "SELECT 'scores/' || l_linestatus || '/' || l_returnflag AS member, count(*) AS n, round(avg(l_extendedprice::DOUBLE), 2) AS mean FROM lineitem GROUP BY 1")
+
+
+def s15(t: Tables):
+    """Hits of patterns as datasets side by side, read back as rows by position; what each pattern and strand has."""
+    path = folder(t, "hits")
+    start = F.col("l_linenumber").cast("long") * 8
+    hits = t.lineitem.select(
+        F.concat(F.lit("patterns/"), "l_returnflag", F.lit("/seqlets")).alias("member"), F.col("l_orderkey").cast("long").alias("example"), start.alias("start"),
+        (start + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_linestatus") == "F").alias("backward"), F.concat(F.lit("day-"), F.dayofmonth("l_shipdate")).alias("name"),
+    )
+    hdf5.write_hdf5(hits, path, order=("example", "start"))
+    read = hdf5.read_hdf5(t.spark, path, "member string, example long, start long, end long, backward int, name string")
+    return read.groupBy(F.split("member", "/")[1].alias("pattern"), "backward").agg(F.count("*").alias("n"), F.sum("example").alias("examples"), F.sum(F.col("end") - F.col("start")).alias("bp"), F.sum(F.col("start") * F.length("name")).alias("weight"), F.countDistinct("name").alias("names"))
+
+
+both(
+    "s15_pattern_hits", s15, "SELECT l_returnflag AS pattern, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS backward, count(*) AS n, sum(l_orderkey)::BIGINT AS examples, sum(l_quantity::BIGINT)::BIGINT AS bp, "
+    "sum(l_linenumber * 8 * length('day-' || day(l_shipdate)))::BIGINT AS weight, count(DISTINCT day(l_shipdate)) AS names FROM lineitem GROUP BY 1, 2",
+)
+
+
+def s16(t: Tables):
+    """Arrays of scores with a gene's name each, in order of genes; those of three genes, whose blocks alone are decoded."""
+    path = folder(t, "genes")
+    scores = F.array(*(F.col(c).cast("double") for c in ("l_extendedprice", "l_discount", "l_tax")))
+    hdf5.write_hdf5(t.lineitem.select(F.lit("variants").alias("member"), F.concat(F.lit("G"), "l_suppkey").alias("genes"), scores.alias("scores")), path, order=("genes",))
+    own = hdf5.read_hdf5(t.spark, path, "genes string, scores array<double>").where(F.col("genes").isin("G1", "G7", "G10"))
+    return own.groupBy("genes").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col("scores")[i]), 2).alias(c) for i, c in enumerate(("price", "discount", "tax"))))
+
+
+both("s16_rows_of_genes", s16, "SELECT 'G' || l_suppkey AS genes, count(*) AS n, round(sum(l_extendedprice::DOUBLE), 2) AS price, round(sum(l_discount::DOUBLE), 2) AS discount, round(sum(l_tax::DOUBLE), 2) AS tax FROM lineitem WHERE l_suppkey IN (1, 7, 10) GROUP BY 1")
+
+
+def r16(t: Tables):
+    """Line items counted by supplier and quantity, a matrix for each flag, smoothed."""
+    cells = t.lineitem.groupBy(F.col("l_returnflag").alias("matrix"), (F.col("l_suppkey").cast("long") - 1).alias("i"), (F.col("l_quantity").cast("long") - 1).alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return smoothing.gaussian(cells, ["matrix"], sigma=1.0, truncate=2.0).select("matrix", "i", "j", F.round("v", 6).alias("v"))
+
+
+both(
+    "r16_smoothed_matrix", r16, "WITH c AS (SELECT l_returnflag AS matrix, l_suppkey::BIGINT - 1 AS i, l_quantity::BIGINT - 1 AS j, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT matrix, max(i) + 1 AS ni, max(j) + 1 AS nj FROM c GROUP BY 1), "
+    "k AS (SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM range(-2, 3) r(k)), a AS (SELECT matrix, i, nj, unnest([j, -1 - j, 2 * nj - 1 - j]) AS p, v FROM c JOIN n USING (matrix)), "
+    "b AS (SELECT matrix, i, p + k AS j, sum(v * w) AS v FROM a, k WHERE p + k >= 0 AND p + k < nj GROUP BY 1, 2, 3), d AS (SELECT matrix, j, ni, unnest([i, -1 - i, 2 * ni - 1 - i]) AS p, v FROM b JOIN n USING (matrix)) "
+    "SELECT matrix, p + k AS i, j, round(sum(v * w), 6) AS v FROM d, k WHERE p + k >= 0 AND p + k < ni GROUP BY 1, 2, 3",
+)
