@@ -71,7 +71,24 @@ def log_sed(alt: Column, ref: Column) -> Column:
 
 
 def half_clip(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(HALF_MAX)), F.lit(-HALF_MAX))
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(HALF_MAX)), F.lit(-HALF_MAX)))  # least passes over nulls
+
+
+def to_half(c: Column) -> Column:
+    """The number of 16 bits that is nearest to c clipped, ties to even (C17); null and NaN stay."""
+    x = half_clip(c.cast("double"))
+    x = F.when(F.isnan(c), c.cast("double")).otherwise(x)
+    # eleven bits of a normal number, steps of 2**-24 below 2**-14
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))) - 10, F.lit(-24)))
+    return F.when((x == 0) | F.isnan(x), x).otherwise(F.rint(x / step) * step)
+
+
+def verdict(reported: Column, found: Column, mode: Column, rtol: Column, atol: Column) -> Column:
+    """PASS, FAIL or MISSING of a check: `ge`, `gt` and `le` compare, any other mode takes what is near (K9)."""
+    slack = atol + rtol * F.abs(reported)
+    holds = F.when(mode == "ge", found >= reported - atol).when(mode == "gt", found > reported).when(mode == "le", found <= reported + atol).otherwise(F.abs(found - reported) <= slack)
+    missing = reported.isNull() | found.isNull() | F.isnan(reported) | F.isnan(found)
+    return F.when(missing, "MISSING").when(holds, "PASS").otherwise("FAIL")
 
 
 def number_in(c: Column) -> Column:

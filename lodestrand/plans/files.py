@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import intervals as I  # noqa: E741
 from ..operators import shuffles, smoothing
 from ..operators.windows import ranked_rows
@@ -171,3 +172,53 @@ both(
     "b AS (SELECT matrix, i, p + k AS j, sum(v * w) AS v FROM a, k WHERE p + k >= 0 AND p + k < nj GROUP BY 1, 2, 3), d AS (SELECT matrix, j, ni, unnest([i, -1 - i, 2 * ni - 1 - i]) AS p, v FROM b JOIN n USING (matrix)) "
     "SELECT matrix, p + k AS i, j, round(sum(v * w), 6) AS v FROM d, k WHERE p + k >= 0 AND p + k < ni GROUP BY 1, 2, 3",
 )
+
+
+def k2(t: Tables):
+    """Peaks as BED files by fold and all together, read back: rows and bases of each file."""
+    path = folder(t, "folds")
+    peaks = chrom(t.peaks).withColumn("fold", F.when(F.col("chrom") == "chr3", "test").when(F.col("chrom") == "chr4", "valid").otherwise("train"))
+    text.write_bed(peaks.select("chrom", "start", "end", "fold"), path, "fold")
+    lines = t.spark.read.text(path).select("fold", F.split("value", "\t").alias("f"))
+    return lines.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col("f")[2].cast("long") - F.col("f")[1].cast("long")).alias("bp"))
+
+
+both("k2_bed_by_fold", k2, f"WITH {PEAKS}, f AS (SELECT CASE WHEN chrom = 3 THEN 'test' WHEN chrom = 4 THEN 'valid' ELSE 'train' END AS fold, \"end\" - start AS size FROM peaks) SELECT fold, count(*) AS n, sum(size)::BIGINT AS bp FROM f GROUP BY 1 UNION ALL SELECT 'all', count(*), sum(size)::BIGINT FROM f")
+
+
+def k9(t: Tables):
+    """Mean prices of suppliers' returned line items against their mean over all, checked in four modes, as CSV, read back."""
+    path = folder(t, "verdicts")
+    price = F.col("l_extendedprice").cast("double")
+    mode = F.element_at(F.array(*map(F.lit, ("approx", "ge", "gt", "le"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    rows = t.lineitem.groupBy("l_suppkey").agg(F.round(F.avg(price), 2).alias("reported"), F.round(F.avg(F.when(F.col("l_returnflag") == "R", price)), 2).alias("reproduced"))
+    checks = rows.select(F.col("l_suppkey").cast("long").alias("panel"), "reported", "reproduced", mode.alias("mode"), F.lit(0.02).alias("rtol"), F.lit(10.0).alias("atol"))
+    checks = checks.withColumn("delta", F.round(F.col("reproduced") - F.col("reported"), 2)).withColumn("verdict", C.verdict(*(F.col(c) for c in ("reported", "reproduced", "mode", "rtol", "atol"))))
+    text.write_delimited(checks, path, ",")
+    return text.delimited(t.spark, path, checks.schema, ",")
+
+
+both(
+    "k9_verdicts", k9, "WITH r AS (SELECT l_suppkey::BIGINT AS panel, round(avg(l_extendedprice::DOUBLE), 2) AS reported, round(avg(l_extendedprice::DOUBLE) FILTER (l_returnflag = 'R'), 2) AS reproduced, ['approx', 'ge', 'gt', 'le'][l_suppkey % 4 + 1] AS mode FROM lineitem GROUP BY l_suppkey) "
+    "SELECT panel, reported, reproduced, mode, 0.02::DOUBLE AS rtol, 10.0::DOUBLE AS atol, round(reproduced - reported, 2) AS delta, CASE WHEN reproduced IS NULL OR reported IS NULL THEN 'MISSING' WHEN CASE mode WHEN 'ge' THEN reproduced >= reported - 10 WHEN 'gt' THEN reproduced > reported WHEN 'le' THEN reproduced <= reported + 10 ELSE abs(reproduced - reported) <= 10.0::DOUBLE + 0.02::DOUBLE * abs(reported) END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r",
+)
+
+
+def s28(t: Tables):
+    """Parts of two tables as lines, the one with a comment and a header, the other with neither; the named or third field of each."""
+    path = folder(t, "targets")
+    orders = t.orders.select(F.concat_ws("\t", "o_orderpriority", F.concat(F.lit("N"), F.col("o_custkey") % 25), "o_orderkey").alias("value"))
+    parts = t.part.select(F.concat_ws("\t", "p_partkey", "p_size", "p_brand").alias("value"))
+    head = t.region.groupBy().agg(F.array(F.concat(F.lit("! regions: "), F.count("*")), F.lit("Priority\tTarget\tKey")).alias("v")).select(F.explode("v").alias("value"))
+    orders.union(head).coalesce(1).write.text(f"{path}/named")
+    parts.write.text(f"{path}/placed")
+    read = text.named_or_placed(t.spark, [f"{path}/named", f"{path}/placed"], "Target", 2)
+    return read.groupBy(F.col("value").alias("target")).agg(F.count("*").alias("n"))
+
+
+both("s28_named_or_placed", s28, "SELECT 'N' || (o_custkey % 25) AS target, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT p_brand, count(*) FROM part GROUP BY 1")
+both(
+    "c17_half", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", C.to_half(F.col("l_extendedprice").cast("double") * (F.col("l_discount").cast("double") - 0.03)).alias("half"), C.to_half(F.lit(1.0) / (F.col("l_orderkey") + 1)).alias("small")),
+    "WITH x AS (SELECT l_orderkey, l_linenumber, least(greatest(l_extendedprice::DOUBLE * (l_discount::DOUBLE - 0.03::DOUBLE), -65504), 65504) AS a, 1.0::DOUBLE / (l_orderkey + 1) AS b FROM lineitem), y AS (SELECT *, pow(2, greatest(floor(log2(nullif(abs(a), 0))) - 10, -24)) AS sa, pow(2, greatest(floor(log2(b)) - 10, -24)) AS sb FROM x) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN a = 0 THEN a ELSE round_even(a / sa, 0) * sa END AS half, round_even(b / sb, 0) * sb AS small FROM y",
+)

@@ -179,6 +179,26 @@ def bed_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in df.columns)).alias("value"))
 
 
+def write_bed(df: DataFrame, path: str, label: str, union: str = "all") -> None:
+    """BED lines of df's other columns, a folder for each label and one, `union`, for all rows together (K2); one job, one pass."""
+    columns = [c for c in df.columns if c != label]
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns)).alias("value")
+    df.select(line, F.explode(F.array(F.col(label).cast("string"), F.lit(union))).alias(label)).write.partitionBy(label).text(path)
+
+
+def named_or_placed(spark: SparkSession, paths, column: str, place: int, comment: str = "!", separator: str = "\t") -> DataFrame:
+    """(file, value): one field of each line that is no comment.
+
+    A file with a line that has a field `column` names it there: that line goes, and its place counts. In other files
+    the field at `place` counts, and every line stays. Lines that are too short have no row.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").where(~F.startswith("value", F.lit(comment)) & (F.trim("value") != ""))
+    lines = lines.select("file", F.split("value", separator).alias("f"))
+    at = (F.array_position("f", F.lit(column)) - 1).cast("int")
+    named = lines.where(at >= 0).groupBy("file").agg(F.min(at).alias("at"))
+    return lines.where(at < 0).join(named, "file", "left").select("file", F.get("f", F.coalesce("at", F.lit(place))).alias("value")).where("value IS NOT NULL")
+
+
 def vcf_lines(df: DataFrame) -> DataFrame:
     """Body lines of a VCF from chrom, pos, ref, alt; rows without a position or allele go (K3)."""
     dot = F.lit(".")
