@@ -172,6 +172,7 @@ def sections(df: DataFrame, marker: str, order: str = "n") -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, separator: str = "\t") -> None:
+    """CSV/TSV with a header (K1)."""
     df.write.option("sep", separator).option("header", True).csv(path)
 
 
