@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,29 +107,77 @@ def hashes_at(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 STRINGS = "anchor long, doc long, twin long, run long, shard long, bytes binary"
+#: Strings that are packed, or unpacked, at once.
+PACKED_AT_ONCE = 100_000
+#: Blocks of strings for each partition of the shuffle: more make its partitions more even, and blocks smaller.
+BLOCKS = 4
 
 
-def _strings(length: int):
-    """Cuts the runs that repeat out of their documents' texts."""
+def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and its n + 1 offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), at
+
+
+def _strings(length: int, targets: int):
+    """Cuts the runs that repeat out of their documents' texts; strings of one target go into one compressed block.
+
+    A bucket's strings have one target each (by anchor and shard), so blocks need no further key. A block is doc, twin,
+    run and shard of its strings, then their bytes; lengths and anchors follow from the run and the bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch, texts in opened(batches):
             data, at = text_bytes(texts)
             runs = batch.column("runs")
             flat = runs.flatten()
             of = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
-            packed, shard = flat.field(0).to_numpy(), flat.field(1)
+            run_, shard = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             doc, twin = (batch.column(k).to_numpy(zero_copy_only=False)[of] for k in ("doc", "twin"))
-            begin = at[of] + (packed >> 20)
-            anchor = hashes_at(data, begin + (packed & 1023)).view(np.int64)
-            size = ((packed >> 10) & 1023) + length - 1
-            for a in range(0, len(of), 20_000):
-                b = min(a + 20_000, len(of))
-                ends = np.cumsum(size[a:b])
-                offsets = np.concatenate(([0], ends)).astype(np.int32)
-                index = np.arange(ends[-1]) + np.repeat(begin[a:b] - offsets[:-1], size[a:b])
-                text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data[index])])
-                yield pa.record_batch([pa.array(anchor[a:b]), pa.array(doc[a:b]), pa.array(twin[a:b]), pa.array(packed[a:b]), shard.slice(a, b - a), text], names=["anchor", "doc", "twin", "run", "shard", "bytes"])
+            begin = at[of] + (run_ >> 20)
+            size = ((run_ >> 10) & 1023) + length - 1
+            target = (mix(hashes_at(data, begin + (run_ & 1023)) ^ mix(shard.astype(np.uint64))) % U(targets)).astype(np.int64)
+            for a in range(0, len(of), PACKED_AT_ONCE):
+                order = a + np.argsort(target[a : a + PACKED_AT_ONCE], kind="stable")
+                edge = np.flatnonzero(np.diff(target[order])) + 1
+                names, n, z = [], [], []
+                for block in np.split(order, edge):
+                    ends = np.cumsum(size[block])
+                    index = np.arange(ends[-1]) + np.repeat(begin[block] - ends + size[block], size[block])
+                    numbers = np.concatenate((doc[block], twin[block], run_[block], shard[block])).astype("<i8")
+                    names.append(int(target[block[0]]))
+                    n.append(len(block))
+                    z.append(compress(numbers.tobytes() + data[index].tobytes()))
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(z, pa.binary())], names=["target", "n", "z"])
+
+    return run
+
+
+def _from_blocks(length: int):
+    """The strings of blocks, as rows of STRINGS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            count = batch.column("n").to_numpy()
+            for i, j in blocks(np.concatenate(([0], np.cumsum(count))), PACKED_AT_ONCE):
+                numbers, texts = [], []
+                for n, z in zip(count[i:j], batch.column("z").slice(i, j - i).to_pylist(), strict=True):
+                    raw = unpack(z)
+                    numbers.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
+                    texts.append(np.frombuffer(raw, np.uint8)[32 * n :])
+                doc, twin, run_, shard = np.concatenate(numbers, axis=1)
+                data = np.concatenate(texts)
+                size = ((run_ >> 10) & 1023) + length - 1
+                at = np.concatenate(([0], np.cumsum(size)))
+                anchor = hashes_at(data, at[:-1] + (run_ & 1023)).view(np.int64)
+                text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.record_batch([*map(pa.array, (anchor, doc, twin, run_, shard)), text], names=["anchor", "doc", "twin", "run", "shard", "bytes"])
 
     return run
 
@@ -231,10 +280,7 @@ def _reduce(length: int):
     """Repeated stretches (start, size) in whole buckets; of buckets that are shards (shard > 0) also the strings with other windows."""
 
     def one(table: pa.Table) -> pa.RecordBatch:
-        column = table.column("bytes").combine_chunks().cast(pa.large_binary())
-        _, offsets, raw = column.buffers()
-        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(raw, np.uint8)
+        data, at = flat_bytes(table.column("bytes"))
         anchor, doc, twin, run, shard = (table.column(k).to_numpy() for k in ("anchor", "doc", "twin", "run", "shard"))
         begin = run >> 20
         key = np.lexsort((begin, twin, doc))
@@ -280,7 +326,7 @@ def _reduce(length: int):
 
 
 def _in_buckets(strings: DataFrame, length: int) -> DataFrame:
-    strings = strings.select("anchor", "shard", "doc", "twin", "run", "bytes").repartition("anchor", "shard")
+    """Reduces strings whose buckets lie within partitions."""
     return strings.sortWithinPartitions("anchor", "shard").mapInArrow(tidy(_reduce(length)), FOUND)
 
 
@@ -307,9 +353,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     # a hot bucket's strings are reduced in shards of about HOT first; what is left of them meets afterwards
     shard = F.when(F.col("n") > HOT, 1 + F.pmod(F.hash("key").cast("long"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0).cast("long"))
     runs = runs.groupBy("key").agg(F.collect_set(F.struct("run", shard.alias("shard"))).alias("runs")).join(copies.select(key), "key", "left_anti")
-    strings = packed(docs.select(key, "doc", "twin", "text")).join(runs, "key").select("doc", "twin", "z", "runs").mapInArrow(tidy(_strings(length)), STRINGS)
-    first = cut(_in_buckets(strings, length))
-    second = _in_buckets(first.where("start IS NULL").withColumn("shard", F.lit(0).cast("long")), length)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = packed(docs.select(key, "doc", "twin", "text")).join(runs, "key").select("doc", "twin", "z", "runs").mapInArrow(tidy(_strings(length, BLOCKS * parts)), "target long, n long, z binary")
+    first = cut(_in_buckets(told.repartition(parts, "target").mapInArrow(tidy(_from_blocks(length)), STRINGS), length))
+    rest = first.where("start IS NULL").select("anchor", F.lit(0).cast("long").alias("shard"), "doc", "twin", "run", "bytes")
+    second = _in_buckets(rest.repartition("anchor"), length)
     columns = ("doc", "twin", "start", "size")
     return first.where("start IS NOT NULL").select(*columns).union(second.select(*columns)).union(copies.select("doc", "twin", F.lit(0).cast("long"), "size"))
 
