@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import columns as C
 from lodestrand.operators import intervals, metrics
-from lodestrand.plans import files, inventory, learning, more  # noqa: F401
+from lodestrand.plans import files, inventory, learning, more, variants  # noqa: F401
 from lodestrand.sources import text
 
 SF = "/root/testdata/sf0.001"
