@@ -23,6 +23,8 @@ FREQUENT, LOCAL = 48, 4
 BAND = 1.25
 #: Classes in a bucket from which it is hot, as one with a frequent shingle is: stars join what they can of it first.
 HOT_ROWS = 64
+#: Classes in a bucket up to which all its pairs are counted; from there on rows carry bitmaps, and unlike pairs end in their tile.
+COLD_ROWS = 4
 #: Star rounds at most, and the part of a round's pairs that must link for one more.
 ROUNDS, WORTH = 8, 0.25
 #: Ids of texts that are broadcast to the scan that fetches them (16 bytes each); more are joined by a shuffle.
@@ -38,25 +40,26 @@ PAIR_WORDS = 1 << 18
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit for each member, of a power of two of bits, at least four times as many as members and 64."""
-    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
-    out = np.zeros(bits >> 6, np.uint64)
-    at = mix(s) & U(bits - 1)
-    np.bitwise_or.at(out, at >> U(6), U(1) << (at & U(63)))
-    return out
+    """Each member flips a bit, of a power of two of bits, at least twice as many as members and 64.
+
+    Members that two sets share cancel out between their bitmaps, so each bit in which they differ stands for a member that one of them lacks.
+    """
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    at = np.bincount((mix(s) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def folded(b: np.ndarray, words: int) -> np.ndarray:
     while len(b) > words:
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
     return b
 
 
 def bound(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
-    """The intersection is no larger: each bit that only one has stands for a member that the other lacks."""
+    """The intersection is no larger: the sets differ by a member for each bit in which their bitmaps do, at least."""
     words = min(len(a), len(b))
-    a, b = folded(a, words), folded(b, words)
-    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    differ = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+    return min((n_a + n_b - differ) // 2, n_a, n_b)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -208,7 +211,7 @@ def _folds(flat: np.ndarray, start: np.ndarray, size: np.ndarray, words: int) ->
     out = np.zeros((len(start), words), np.uint64)
     for k in range(0, int(size.max(initial=0)), words):
         on = np.flatnonzero(size > k)
-        out[on] |= flat[start[on, None] + k + np.arange(words)]
+        out[on] ^= flat[start[on, None] + k + np.arange(words)]
     return out
 
 
@@ -222,7 +225,7 @@ def _most(flat: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray,
         for at in (same[k : k + step] for k in range(0, len(same), step)):
             p, q = i[at], j[at]
             x, y = _folds(flat, start[p], size[p], w), _folds(flat, start[q], size[q], w)
-            most[at] = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            most[at] = np.minimum((n[p] + n[q] - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2, np.minimum(n[p], n[q]))
     return most
 
 
@@ -230,29 +233,58 @@ def _allowed(threshold: Fraction, most: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return most * (threshold.denominator + threshold.numerator) >= threshold.numerator * (n_a + n_b)
 
 
-def _tiles(threshold: Fraction, signed: bool):
+class _Lists:
+    """Sorted lists of tokens, one for each row."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.flat, self.size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        known, self.rank = np.unique(self.flat, return_inverse=True)
+        self.width = len(known) + 1
+        self.key = np.repeat(np.arange(len(lists)), self.size) * self.width + self.rank  # ascends
+
+    def first_met(self, tok: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (i, j) that meet in tok[i], those for which it is the least token that both lists hold, and how many both hold."""
+        first, shared = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+        step = max(1, PAIR_WORDS // max(1, int(self.size.max(initial=0))))
+        for k in range(0, len(i), step):
+            p, q = i[k : k + step], j[k : k + step]
+            n = self.size[p]
+            pair = np.repeat(np.arange(len(p)), n)
+            at = np.repeat(self.start[p] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            wanted = q[pair] * self.width + self.rank[at]
+            hit = self.key[np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)] == wanted
+            shared[k : k + step] = np.bincount(pair[hit], minlength=len(p))
+            first[k : k + step] = np.bincount(pair[hit & (self.flat[at] < tok[p][pair])], minlength=len(p)) == 0
+        return first, shared
+
+
+def _tiles(threshold: Fraction, signed: bool, listed: bool = False):
     """Of rows in order of tile (tok, k, p, q) and n, the pairs of different components in a tile, and in how many tiles they met.
 
     A tile has the rows at home in band k and guests from above; a pair needs one at home. All tiles of a batch go
     together: step d compares each row with the d-th after it, as long as that is in its tile and near in size. signed:
-    rows carry bitmaps, and pairs whose bitmaps don't allow a link go here.
+    rows carry bitmaps, and pairs whose bitmaps don't allow a link go here. listed: rows carry all tokens of their class
+    that have tiles, so that a pair comes out of the tile of its least one only, with the number of all.
     """
 
-    def counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
+    def counted(a: list[np.ndarray], b: list[np.ndarray], met: list[np.ndarray]) -> pa.RecordBatch:
+        x, y, met = map(np.concatenate, (a, b, met))
         low, high = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
-        edge = np.append(np.flatnonzero(_moved(low, high)), len(low))
-        return pa.record_batch([pa.array(low[edge[:-1]]), pa.array(high[edge[:-1]]), pa.array(np.diff(edge))], names=["a", "b", "met"])
+        edge = np.flatnonzero(_moved(low, high))
+        met = np.add.reduceat(met[order], edge) if len(edge) else met
+        return pa.record_batch([pa.array(low[edge]), pa.array(high[edge]), pa.array(met)], names=["a", "b", "met"])
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tok, k, p, q, name, n, comp, part, home = (table.column(c).to_numpy() for c in ("tok", "k", "p", "q", "cls", "n", "comp", "part", "home"))
         flat, start, size = _words(table.column("bits").combine_chunks()) if signed else (None,) * 3
+        lists = _Lists(table.column("toks").combine_chunks()) if listed else None
         edge = np.append(np.flatnonzero(_moved(tok, k, p, q)), len(tok))
         stop = np.repeat(edge[1:], np.diff(edge))
         split = p != q  # a tile of two blocks has the pairs between them only
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         held, d, row = 0, 0, np.arange(len(tok))
         while len(row):
             d += 1
@@ -264,7 +296,11 @@ def _tiles(threshold: Fraction, signed: bool):
             if signed and len(i):
                 ok = _allowed(threshold, _most(flat, start, size, n, i, j), n[i], n[j])
                 i, j = i[ok], j[ok]
-            found.append((name[i], name[j]))
+            met = np.ones(len(i), np.int64)
+            if lists is not None and len(i):
+                ok, met = lists.first_met(tok, i, j)
+                i, j, met = i[ok], j[ok], met[ok]
+            found.append((name[i], name[j], met))
             held += len(i)
             if held > HELD_PAIRS or held and not len(row):
                 yield counted(*map(list, zip(*found)))
@@ -366,22 +402,24 @@ def _stars(hot: DataFrame, docs: DataFrame, classes: DataFrame, threshold: Fract
     return links, groups
 
 
-def _tiled(rows: DataFrame, threshold: Fraction, bits: DataFrame | None = None, together: bool = False) -> DataFrame:
+def _tiled(rows: DataFrame, threshold: Fraction, more: DataFrame | None = None, together: bool = False) -> DataFrame:
     """(a, b, met): pairs of rows(tok, cls, n, comp, rows) that meet in tiles; rows: how many the bucket of tok has. See _tiles.
 
-    together: a partition of rows has all of its buckets' rows, so tiles are made in place.
+    more(cls, bits, toks): bitmaps and tokens of the classes; bitmaps may also stand in the rows. together: a partition
+    of rows has all of its buckets' rows, so tiles are made in place.
     """
+    signed, listed = more is not None or "bits" in rows.columns, more is not None
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))
     reach = int(np.ceil(np.log(float(1 / threshold)) / np.log(BAND) - 1e-9))
     rows = rows.withColumns({"n": F.col("n").cast("long"), "band": band, "parts": F.ceil(F.col("rows") / TILE_ROWS)}).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     # a row is at home in its band's tile and a guest in those of the bands below; with parts > 1 in each pair of parts
     other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     tiles = rows.withColumn("k", F.explode(F.sequence(F.col("band") - reach, F.col("band")))).withColumn("o", F.explode(other))
-    tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"))
-    if bits is not None:
-        tiles = tiles.join(bits.select("cls", "bits"), "cls")
+    tiles = tiles.select("tok", "k", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "cls", "n", "comp", "part", (F.col("k") == F.col("band")).alias("home"), *(["bits"] if "bits" in rows.columns else []))
+    if more is not None:
+        tiles = tiles.join(more, "cls")
     tile = ("tok", "k", "p", "q")
-    return (tiles if together else tiles.repartition(*tile)).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold, bits is not None)), "a long, b long, met long")
+    return (tiles if together else tiles.repartition(*tile)).sortWithinPartitions(*tile, "n", "cls").mapInArrow(tidy(_tiles(threshold, signed, listed)), "a long, b long, met long")
 
 
 def _often_enough(threshold: Fraction) -> str:
@@ -417,8 +455,13 @@ def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]
     # what is left between components: hot buckets with bitmaps, as most pairs there would be between unlike sets
     own = _with_component(hot, groups)
     open_ = own.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    met = _tiled(own.join(open_.select("tok", "rows"), "tok"), threshold, signed)
-    met = met.unionByName(_tiled(shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows"), threshold, together=True))
+    own = own.join(open_.select("tok", "rows"), "tok")
+    met = _tiled(own, threshold, signed.select("cls", "bits").join(own.groupBy("cls").agg(F.array_sort(F.collect_set("tok")).alias("toks")), "cls"))
+    # the pairs of a small bucket are few for each row; in a larger one most would be between texts that share a passage
+    cold = shared.where("NOT hot").select("tok", "cls", "n", F.col("cls").alias("comp"), "rows")
+    met = met.unionByName(_tiled(cold.where(F.col("rows") <= COLD_ROWS), threshold, together=True))
+    warm = _with_component(cold.where(F.col("rows") > COLD_ROWS).drop("comp"), groups).join(classes.select("cls", "bits"), "cls")
+    met = met.unionByName(_tiled(warm.repartition("tok"), threshold, together=True))
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"))
     size = classes.select("cls", "n")
     for x in "ab":
@@ -453,7 +496,8 @@ def ngram_jaccard_classes(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     2. Prefixes (see `prefix`) meet by shingle. Hot buckets, of a frequent shingle or of many classes, go through star
        rounds (see `_stars`) that join large groups of near copies without comparing all their pairs.
     3. Tiles by shingle and size band pair the classes that are still in different components, and count in how many
-       tiles a pair met. Too few for the sizes (see `_often_enough`), or bitmaps that bound the intersection too low:
+       tiles a pair met. Rows of all but the smallest buckets carry bitmaps, so that unlike pairs end in their tile; in
+       hot ones a pair comes out of one tile, with its count. Too few for the sizes (see `_often_enough`), or bitmaps that bound the intersection too low:
        no link. What is left is intersected. So no link between components is lost.
     """
     rows, named = _joined(docs, threshold)

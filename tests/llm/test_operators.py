@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat, embed_dedup, html_text, ngram_join, packing, piece_codec, quality, secrets, suffix_dedup, token_files
+from lodestrand.llm import chat, embed_dedup, graph, html_text, ngram_join, packing, piece_codec, quality, secrets, suffix_dedup, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,6 +92,55 @@ def test_tiles():
     assert got == want and want
 
 
+def test_listed_tiles_give_a_pair_once():
+    """A pair of near copies that meets in the tiles of many shingles comes out of one of them, with the number of all."""
+    rnd, rows, tokens = np.random.default_rng(6), [], {}
+    base = np.arange(300, dtype=np.uint64)
+    for name in range(60):
+        s = np.delete(base, rnd.choice(300, 8, replace=False))
+        tokens[name] = sorted(rnd.choice(np.arange(-15, 15), 12, replace=False).tolist())
+        rows += [(tok, 0, 0, 0, name, 292, name, 0, True, ngram_join.bitmap(s).tobytes(), tokens[name]) for tok in tokens[name]]
+    rows.sort(key=lambda r: (*r[:4], r[5], r[4]))
+    names = ["tok", "k", "p", "q", "cls", "n", "comp", "part", "home", "bits", "toks"]
+    made, middle = [], next(i for i, r in enumerate(rows) if r[0] == 0)
+    for some in (rows[:middle], rows[middle:]):  # two tasks; a tile is in one of them
+        batches = [pa.record_batch([pa.array([r[c] for r in some[i : i + 37]]) for c in range(11)], names=names) for i in range(0, len(some), 37)]
+        for x in ngram_join._tiles(Fraction(4, 5), True, True)(iter(batches)):
+            made += zip(*(x.column(c).to_pylist() for c in ("a", "b", "met")))
+    shared = {(a, b): len({*tokens[a]} & {*tokens[b]}) for a in range(60) for b in range(a + 1, 60)}
+    assert sorted(made) == sorted((*k, n) for k, n in shared.items() if n)
+
+
+def test_components_of_few_links():
+    """A long path, and random links in two batches, against one link after another."""
+    rnd = np.random.default_rng(7)
+    for u, v in [(np.arange(1, 5001), np.arange(5000)), *((rnd.integers(-40, 40, 30), rnd.integers(-40, 40, 30)) for _ in range(20))]:
+        want = {x: x for x in (*u.tolist(), *v.tolist())} if len(u) < 5000 else dict.fromkeys(range(5001), 0)
+        for a, b in zip(u.tolist(), v.tolist()):
+            if (x := want[a]) != (y := want[b]):
+                want = {k: min(x, y) if g in (x, y) else g for k, g in want.items()}
+        batches = [pa.record_batch([pa.array(x[i : i + 17]) for x in (u, v)], names=["u", "v"]) for i in range(0, len(u), 17)]
+        got = [tuple(r.values()) for batch in graph._few(iter(batches)) for r in batch.to_pylist()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_unlike_texts_of_a_bucket_end_in_their_tile(spark, monkeypatch):
+    """Texts that share a passage and no more, in buckets that aren't hot: their pairs don't leave the tiles."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(60))) for i in range(20)]
+    made, tiled = [], ngram_join._tiled
+
+    def counted(*args, **more):
+        out = tiled(*args, **more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_tiled", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["component_id"] == r["doc_id"] for r in ngram_join.ngram_jaccard_classes(df).collect())
+    assert made and sum(made) < 20  # before, most of the 190 pairs
+
+
 def test_suffix_dedup(docs, rows, empty):
     key = lambda r: (r[0] if r[0] is not None else -(1 << 63))
     plain = [r for r in rows if rows.count(r) == 1 and [x[0] for x in rows].count(r[0]) == 1]
