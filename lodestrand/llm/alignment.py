@@ -45,18 +45,14 @@ class SpacedByteLevel(tokens.ByteLevel):
     def room(self) -> None:
         if max(len(self.known), len(self.parts)) > REMEMBERED:
             self.known.clear()
-            self.parts = {"": b""}
+            self.parts.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.room()
-        parts, new = [t.split(" ") for t in texts], set()
-        for p in parts:
-            new.update(p)
-        self.learn({k: " " + k for k in new if k not in self.known and k and not k[0].isspace() and not k[-1].isspace()})
         out = []
-        for text, p in zip(texts, parts):
+        for text in texts:
+            self.room()
             try:
-                out.append(b"".join(map(self.known.__getitem__, p)) if text else b"")
+                out.append(b"".join(map(self.known.__getitem__, text.split(" "))) if text else b"")
             except KeyError:  # white space beside a space, or at an end
                 out.append(self.whole(" " + text))
         return out

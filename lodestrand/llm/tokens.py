@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import weakref
 from array import array
 from functools import lru_cache
 from string import punctuation
 
 #: Stretches that a worker remembers (about 250 bytes each); beyond that it starts anew.
 REMEMBERED = 500_000
-#: Stretches encoded at once; the library's encodings are far larger than their ids, and past the processor's caches cost more.
-ENCODED = 100
 #: Beyond Latin letters, and the one of them that grows in lower case: here normal forms and case may depend on the neighbours.
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
@@ -24,6 +23,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = BYTE_LETTERS[32]
+
+
+class _Known(dict):
+    """The ids of keys; those of a new one are made when it is looked up."""
+
+    def __init__(self, encoder: _Encoder):
+        super().__init__()
+        self.encoder = weakref.proxy(encoder)  # so that both go at once
+
+    def __missing__(self, key):
+        ids = self[key] = self.encoder.made(key)
+        return ids
 
 
 class _Encoder:
@@ -33,51 +45,50 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known, self.parts = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], {}, {"": b""}
+        self.tokenizer, self.kind, self.known, self.parts = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], _Known(self), {}
+        self.tokenize = self.tokenizer.model.tokenize
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: dict) -> None:
-        """Remembers the ids of new words (key to text), each cut in a core and the ASCII punctuation at its end.
+    def ids(self, word: str) -> bytes:
+        """The ids of a word, cut in a core and the ASCII punctuation at its end.
 
         Both tokenizers' patterns end a match between a letter or digit and punctuation. A core of letters alone (after
         one space, perhaps) and such an end are one match each, so they go to the library's merges straight, without its
         far dearer normalizer and pattern; all else, words beyond Latin or with `<|` as in special tokens too, goes to
         the whole library.
         """
-        parts, cut, other, merge = self.parts, {}, [], self.tokenizer.model.tokenize
-        for k, word in words.items():
-            core, latin = word, word.isascii() or not BEYOND_LATIN.search(word)
-            if latin and "<|" not in word:
-                core = word.rstrip(punctuation)
-                if not core[-1:].isalnum():
-                    core = word
+        core, latin, parts = word, word.isascii() or not BEYOND_LATIN.search(word), self.parts
+        if latin and "<|" not in word:
+            core = word.rstrip(punctuation)
+            if not core[-1:].isalnum():
+                core = word
+        made = parts.get(core)
+        if made is None:
+            if latin and core.removeprefix(" ").isalpha():
+                made = self.merged(core)
+            else:
+                made = array(self.kind, self.tokenizer.encode_batch_fast([core], add_special_tokens=False)[0].ids).tobytes()
+            parts[core] = made
+        if len(core) < len(word):
             tail = word[len(core) :]
-            cut[k] = core, tail
-            if core not in parts:
-                if latin and core.removeprefix(" ").isalpha():
-                    parts[core] = self.merged(merge, core)
-                else:
-                    other.append(core)
-            if tail not in parts:
-                parts[tail] = self.merged(merge, tail)
-        for i in range(0, len(other), ENCODED):
-            some = other[i : i + ENCODED]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                parts[p] = array(self.kind, e.ids).tobytes()
-        for k, (core, tail) in cut.items():
-            self.known[k] = parts[core] + parts[tail] if tail else parts[core]
-
-    def merged(self, merge, match: str) -> bytes:
-        letters = match.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array(self.kind, [t.id for t in merge(letters)]).tobytes()
+            end = parts.get(tail)
+            if end is None:
+                end = parts[tail] = self.merged(tail)
+            made += end
+        return made
+
+    def merged(self, match: str) -> bytes:
+        # of ASCII letters and punctuation only the space has another letter
+        letters = match.replace(" ", SPACE_LETTER) if match.isascii() else match.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def room(self) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
+            self.parts.clear()
 
 
 class ByteLevel(_Encoder):
@@ -87,15 +98,16 @@ class ByteLevel(_Encoder):
     space has white space beside it are encoded whole.
     """
 
+    def made(self, key: str) -> bytes:
+        if not key or key[0].isspace() or key[-1].isspace():
+            raise KeyError(key)
+        return self.ids(" " + key)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.room()
-        parts = [t.split(" ") for t in texts]
-        new = set()
-        for p in parts:
-            new.update(p[1:])
-        self.learn({k: " " + k for k in new if k not in self.known and k and not k[0].isspace() and not k[-1].isspace()})
         known, out = self.known, []
-        for text, p in zip(texts, parts):
+        for text in texts:
+            self.room()
+            p = text.split(" ")
             try:
                 if p[0][-1:].isspace() or len(p) > 1 and not p[0]:
                     raise KeyError
@@ -114,14 +126,15 @@ class WordLevel(_Encoder):
         text = word.decode()
         return text.lower() if word.isascii() or not BEYOND_LATIN.search(text) else text
 
+    def made(self, key: bytes) -> bytes:
+        return self.ids(self.folded(key))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.room()
-        parts = [t.encode().split() for t in texts]
-        new = set()
-        for p in parts:
-            new.update(p)
-        self.learn({k: self.folded(k) for k in new if k not in self.known})
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        out = []
+        for text in texts:
+            self.room()
+            out.append(b"".join(map(self.known.__getitem__, text.encode().split())))
+        return out
 
 
 @lru_cache(maxsize=1)

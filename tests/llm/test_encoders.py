@@ -1,6 +1,8 @@
 """The encoders that remember words against the whole tokenizers library, on odd texts and every Latin letter."""
 
+import gc
 import random
+import weakref
 from array import array
 
 import pytest
@@ -26,3 +28,20 @@ def test_ids_are_the_librarys(monkeypatch, cls, name, width, remembered):
         some = rows[i : i + 256]
         want = [array(encoder.kind, e.ids).tobytes() for e in encoder.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         assert encoder.encode(some) == want
+
+
+def test_words_are_made_once_and_go_with_their_encoder(monkeypatch):
+    """Each distinct word is made when it is first looked up, and nothing holds an encoder that was let go."""
+    made, ids = [], tokens.ByteLevel.ids
+    monkeypatch.setattr(tokens.ByteLevel, "ids", lambda self, word: made.append(word) or ids(self, word))
+    encoder = tokens.ByteLevel(queries.tokenizer("byte_bpe_50k.json"), 4)
+    for _ in range(2):
+        encoder.encode(["first one two. one", "other two. three one"])
+    assert made == [" one", " two.", " three"]
+    gone = weakref.ref(encoder)
+    gc.disable()
+    try:
+        del encoder
+        assert gone() is None
+    finally:
+        gc.enable()
