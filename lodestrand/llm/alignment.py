@@ -21,8 +21,6 @@ NULL_ID = -(1 << 63)
 EVENTS, LINKS, TEXTS = 8192, 1 << 14, 256
 #: Distinct id pairs whose counts a task holds at once (about 17 bytes each); more are looked up in several passes.
 PAIRS = 4_000_000
-#: Stretches of text between spaces that a worker remembers the ids of; it has one side's only.
-REMEMBERED = 1_000_000
 A, B = 0, 1
 EVENT = "doc long, twin long, at long, side long, ok boolean, copies long, ids binary"
 SWEPT = "doc long, twin long, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -42,59 +40,20 @@ class SpacedByteLevel(tokens.ByteLevel):
         for token, i in vocabulary.items():
             self.raw[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
 
-    def room(self) -> None:
-        if max(len(self.known), len(self.parts)) > REMEMBERED:
-            self.known.clear()
-            self.parts.clear()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            self.room()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, text.split(" "))) if text else b"")
-            except KeyError:  # white space beside a space, or at an end
-                out.append(self.whole(" " + text))
-        return out
+        return self.by_stretches(texts, False)
+
+    def all_of(self, text: str) -> bytes:
+        return self.whole(" " + text)
 
 
 class SpacedPieces(piece_codec.PieceCodec):
-    """Encodes a text to 16-bit ids: each stretch between spaces with the mark before it, as no piece has a mark inside."""
+    """Encodes a text to 16-bit ids; it puts the space before the text itself."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        if self.size > 1 << 16:
+        if self.kind.itemsize > 2:
             raise ValueError("ids need more than 16 bits")
-        self.stretches: dict[str, bytes] = {}
-
-    def learn(self, stretches: list[str]) -> None:
-        mark = piece_codec.MARK
-        whole = sorted((k for k in stretches if "\n" not in k and mark not in k), key=len)
-        for i in range(0, len(whole), piece_codec.AT_ONCE):
-            some = whole[i : i + piece_codec.AT_ONCE]
-            for k, ids in zip(some, self.merge([mark + k for k in some])):
-                self.stretches[k] = ids.astype(np.uint16).tobytes()
-        several = {k: self.WORD.findall(mark + k) for k in stretches if k not in self.stretches}
-        words = sorted({w for all_ in several.values() for w in all_}, key=len)
-        made = dict(zip(words, self.merge(words))) if words else {}
-        for k, all_ in several.items():
-            self.stretches[k] = np.concatenate([made[w] for w in all_]).astype(np.uint16).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.stretches) > REMEMBERED:
-            self.stretches.clear()
-        parts, new = [t.split(" ") for t in texts], set()
-        for p in parts:
-            new.update(p)
-        new.discard("")
-        self.learn([k for k in new if k not in self.stretches])
-        out = []
-        for text, p in zip(texts, parts):
-            try:
-                out.append(b"".join(map(self.stretches.__getitem__, p)) if text else b"")
-            except KeyError:  # spaces beside spaces, or at an end
-                out.append(super().encode([text])[0].astype(np.uint16).tobytes())
-        return out
 
 
 @lru_cache(maxsize=1)

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .common import ready, tidy
 
-#: Words that a worker remembers, and words that are merged at once.
-REMEMBERED, AT_ONCE = 1_000_000, 50_000
+#: Stretches between spaces that a worker remembers the ids of (about 200 bytes each), and words that are merged at once.
+REMEMBERED, AT_ONCE = 500_000, 50_000
 MARK = "▁"
 NEVER = np.int64(1 << 40)
 
@@ -35,6 +36,8 @@ class PieceCodec:
             raise ValueError("a piece goes beyond a word")
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.size = size
+        #: ids as they are remembered
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<i4")
         score = np.array([model.get_score(i) for i in range(size)])
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)  # equal scores have equal ranks
         pairs = {}
@@ -55,7 +58,9 @@ class PieceCodec:
         self.raw = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         if model.unk_id() >= 0:
             self.raw[model.unk_id()] = " ⁇ ".encode()
-        self.known: dict[str, np.ndarray] = {}
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.marked = np.array([p.startswith(MARK) for p in self.pieces])
+        self.stretches: dict[str, bytes] = {}
 
     def pair_ranks(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place the rank of its symbol's merge with the next one, or NEVER, and what they make."""
@@ -145,25 +150,59 @@ class PieceCodec:
     #: A word: marks and what follows them up to the next mark or line end; a line end merges with nothing.
     WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [self.WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = sorted(new - self.known.keys(), key=len)
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            self.known.update(zip(part, self.merge(part)))
-        return [np.concatenate([self.known[w] for w in words]) if words else np.zeros(0, np.int32) for words in split]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces and bytes one after the other, marks as spaces, without the one put before the text."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        if ids and self.pieces[ids[0]].startswith(MARK):
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of stretches without spaces, each with the mark before it."""
+        whole = sorted((k for k in stretches if "\n" not in k and MARK not in k), key=len)
+        out = {}
+        for i in range(0, len(whole), AT_ONCE):
+            some = whole[i : i + AT_ONCE]
+            out.update(zip(some, self.merged([MARK + k for k in some])))
+        several = {k: self.WORD.findall(MARK + k) for k in stretches if k not in out}
+        words = sorted({w for all_ in several.values() for w in all_}, key=len)
+        made = dict(zip(words, self.merged(words))) if words else {}
+        for k, all_ in several.items():
+            out[k] = b"".join(map(made.__getitem__, all_))
+        return out
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        made = self.merge(words)
+        ends = np.cumsum([len(m) for m in made]) * self.kind.itemsize
+        raw = np.concatenate(made).astype(self.kind).tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text with spaces beside spaces or marks, or at an end."""
+        words = self.WORD.findall(MARK + text.replace(" ", MARK))
+        new = sorted(set(words), key=len)
+        made = dict(zip(new, self.merged(new)))
+        return b"".join(map(made.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, of `kind`, made stretch by stretch between spaces, as no piece has a mark inside."""
+        known = self.stretches
+        if len(known) > REMEMBERED:
+            known.clear()
+        names, place, at = tokens.stretches(texts)
+        made = list(map(known.get, names))
+        new = [k for k, ids in enumerate(made) if ids is None and names[k] and not names[k].endswith(MARK)]
+        learnt = self.learn([names[k] for k in new])
+        known.update(learnt)
+        for k in new:
+            made[k] = learnt[names[k]]
+        odd = np.array([ids is None for ids in made])
+        before = np.concatenate(([0], np.cumsum(odd[place])))[at]
+        out = tokens.joined([ids or b"" for ids in made], place, at, self.kind)
+        for i in np.flatnonzero(before[1:] > before[:-1]).tolist():  # empty, spaces beside spaces or marks, or at an end
+            out[i] = self.whole(texts[i]) if texts[i] else b""
+        return out
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of ids[at[i]:at[i + 1]]: pieces and bytes one after the other, marks as spaces, without the one put before the text."""
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[at]
+        first = np.minimum(at[:-1], max(len(ids) - 1, 0))
+        skip = self.marked[ids[first]] & (at[1:] > at[:-1]) if len(ids) else np.zeros(len(at) - 1, bool)
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip((ends[:-1] + skip).tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -181,8 +220,8 @@ def _encode(path: str):
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 made = model.encode([t or "" for t in part.column("text").to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([len(m) for m in made]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*made, np.zeros(0, np.int32)])))
+                offsets = np.concatenate(([0], np.cumsum([len(m) for m in made]) // model.kind.itemsize)).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), model.kind).astype(np.int32)))
                 yield pa.record_batch([part.column("row"), ids], names=["row", "ids"])
 
     return run
@@ -194,7 +233,9 @@ def _decode(path: str):
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                text = pa.array([model.decode(ids) for ids in part.column("ids").to_pylist()], pa.string())
+                ids = part.column("ids")
+                at = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+                text = pa.array(model.decode(ids.flatten().to_numpy(), at), pa.string())
                 yield pa.record_batch([part.column("row"), part.column("ids"), text], names=["row", "ids", "decoded"])
 
     return run

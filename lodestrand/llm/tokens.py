@@ -9,6 +9,10 @@ from array import array
 from functools import lru_cache
 from string import punctuation
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Stretches that a worker remembers (about 250 bytes each); beyond that it starts anew.
 REMEMBERED = 500_000
 #: Beyond Latin letters, and the one of them that grows in lower case: here normal forms and case may depend on the neighbours.
@@ -26,6 +30,25 @@ BYTE_LETTERS = _byte_letters()
 SPACE_LETTER = BYTE_LETTERS[32]
 
 
+def stretches(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct stretches between single spaces, which of them stands at each place, and the texts' offsets in the places."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+
+
+def joined(made: list[bytes], place: np.ndarray, at: np.ndarray, kind: np.dtype) -> list[bytes]:
+    """The ids (of `kind`) of rows: made[p] for each p of place[at[i]:at[i + 1]]."""
+    ids, size = np.frombuffer(b"".join(made), kind), np.array([len(m) for m in made], np.int64) // kind.itemsize
+    n = size[place]
+    ends = np.cumsum(n)
+    narrow = np.int32 if max(len(ids), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    from_ = np.repeat(((np.cumsum(size) - size)[place] - (ends - n)).astype(narrow), n)
+    from_ += np.arange(len(from_), dtype=narrow)
+    raw, bounds = ids[from_].tobytes(), (np.concatenate(([0], ends))[at] * kind.itemsize).tolist()
+    return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class _Known(dict):
     """The ids of keys; those of a new one are made when it is looked up."""
 
@@ -104,18 +127,40 @@ class ByteLevel(_Encoder):
         return self.ids(" " + key)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        for text in texts:
-            self.room()
-            p = text.split(" ")
+        """Ids of each text; each stretch after the first goes with the space before it, and distinct ones are looked up once."""
+        return self.by_stretches(texts, True)
+
+    def by_stretches(self, texts: list[str], first_alone: bool) -> list[bytes]:
+        self.room()
+        names, place, at = stretches(texts)
+        used = np.ones(len(place), bool)
+        if first_alone:
+            used[at[:-1]] = False
+        met = np.zeros(len(names), bool)
+        met[place[used]] = True
+        made, odd, known = [b""] * len(names), np.zeros(len(names), bool), self.known
+        for k in np.flatnonzero(met).tolist():
             try:
-                if p[0][-1:].isspace() or len(p) > 1 and not p[0]:
-                    raise KeyError
-                out.append(self.whole(p[0]) + b"".join(map(known.__getitem__, p[1:])) if text else b"")
-            except KeyError:
-                out.append(self.whole(text))
+                made[k] = known[names[k]]
+            except KeyError:  # white space beside a space, or at an end
+                odd[k] = True
+        before = np.concatenate(([0], np.cumsum(odd[place] & used)))[at]
+        whole = before[1:] > before[:-1]
+        ends = np.concatenate(([0], np.cumsum(used)))[at]
+        out = joined(made, place[used], ends, np.dtype("<" + {"H": "u2", "I": "u4"}[self.kind]))
+        for i, (text, first) in enumerate(zip(texts, place[at[:-1]].tolist())):
+            if not text:
+                out[i] = b""
+            elif whole[i]:
+                out[i] = self.all_of(text)
+            elif first_alone:
+                first = names[first]
+                out[i] = self.all_of(text) if first[-1:].isspace() or not first else self.whole(first) + out[i]
         return out
 
+    def all_of(self, text: str) -> bytes:
+        return self.whole(text)
+
 
 class WordLevel(_Encoder):
     """For tokenizers that drop white space and case and keep no context across it: words at ASCII white space stand alone."""
