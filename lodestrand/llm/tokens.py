@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import weakref
@@ -28,6 +29,8 @@ def _byte_letters() -> dict[int, str]:
 
 BYTE_LETTERS = _byte_letters()
 SPACE_LETTER = BYTE_LETTERS[32]
+#: The matches of the byte-level pattern in printable ASCII without spaces but one before it.
+BYTE_LEVEL_ASCII = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 
 
 def stretches(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -64,6 +67,9 @@ class _Known(dict):
 class _Encoder:
     """Remembers the ids (of `width` bytes, little-endian) of stretches of text that the tokenizer treats on their own."""
 
+    #: Cuts a word of printable ASCII into the pattern's matches, where they are known.
+    matches = None
+
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -91,6 +97,13 @@ class _Encoder:
         if made is None:
             if latin and core.removeprefix(" ").isalpha():
                 made = self.merged(core)
+            elif self.matches is not None and core.isascii() and core.isprintable() and "<|" not in core:
+                made = b""
+                for match in self.matches(core):
+                    ids = parts.get(match)
+                    if ids is None:
+                        ids = parts[match] = self.merged(match)
+                    made += ids
             else:
                 made = array(self.kind, self.tokenizer.encode_batch_fast([core], add_special_tokens=False)[0].ids).tobytes()
             parts[core] = made
@@ -121,9 +134,21 @@ class ByteLevel(_Encoder):
     space has white space beside it are encoded whole.
     """
 
+    def __init__(self, path: str, width: int):
+        super().__init__(path, width)
+        pre = self.tokenizer.pre_tokenizer
+        own = json.loads(pre.__getstate__()) if pre is not None and self.tokenizer.normalizer is None else {}
+        if own.get("type") == "ByteLevel" and own.get("use_regex") and not own.get("add_prefix_space"):
+            self.matches = BYTE_LEVEL_ASCII.findall
+            self.line_end = self.whole("\n")
+
     def made(self, key: str) -> bytes:
         if not key or key[0].isspace() or key[-1].isspace():
             raise KeyError(key)
+        if self.matches is not None and "\n" in key:
+            lines = key.split("\n")  # a line's end between two other characters is a match of its own
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return self.line_end.join([self.ids(" " + lines[0]), *map(self.ids, lines[1:])])
         return self.ids(" " + key)
 
     def encode(self, texts: list[str]) -> list[bytes]:

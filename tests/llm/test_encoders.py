@@ -45,3 +45,15 @@ def test_words_are_made_once_and_go_with_their_encoder(monkeypatch):
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_line_ends_and_mixed_words_go_straight_to_the_merges(monkeypatch):
+    """Words with a line's end or digits inside, most of which are new, need no call of the whole library."""
+    encoder = tokens.ByteLevel(queries.tokenizer("byte_bpe_50k.json"), 4)
+    rows = ["a of.\nHere we'll go\n\nx it's.\n'Tis a1b22.c@d.example", "a ç.\nÉai b\n c \nd e\r\nf g\n\x1ch <|endoftext|>\nk", "x " + "\n".join(["l'été,", "'s", "--'re"]) + " y", "x á.\nb c\xa0\nd é\x85\nf"]
+    want = [array("I", e.ids).tobytes() for e in encoder.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+    assert encoder.encode(rows) == want
+    encoder.known.clear()
+    encoder.parts.clear()
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert encoder.ids(" a1b22.c@d.example") and encoder.made("of.\nHere") and encoder.made("ç.\nÉai,\nx")
