@@ -26,7 +26,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(docs, queries.tokenizer("byte_bpe_50k.json"))
+    return packing.best_fit_pack(docs, queries.tokenizer("byte_bpe_50k.json"), remembers=False)
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ready, tidy
+from .common import cut, few_rows, ready, tidy
 from .tokens import encoder
 
 #: Documents encoded at once.
@@ -103,32 +103,33 @@ def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False, remembers: bool = True) -> DataFrame:
     """Pieces of docs(doc_id, text): ids of the text and the end id, cut into `room` ids if there are more; the first piece is the short one.
 
     part and local rank a piece among those of its length in its task. A null text is empty (one end id). with_ids: z has the
-    piece's ids, little-endian unsigned 32-bit, as zstd for the way.
+    piece's ids, little-endian unsigned 32-bit, as zstd for the way. remembers: see `tidy`.
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids), True), PIECES + ", z binary" * with_ids)
+    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids), remembers), PIECES + ", z binary" * with_ids)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True, remembers: bool = True) -> DataFrame:
     """Every piece of docs(doc_id, text) with its sequence_id and offset there; with_ids: and its ids, little-endian unsigned 32-bit.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Sequences hold `room` ids at most, without
     gaps. Repeated rows are packed each, a null doc_id stays null, other columns of docs aren't read, an empty table
     gives an empty result. Only the histogram, `room` counts, reaches the driver, and the plan, a few slots for each
-    length, goes back. Ranks come from sums over (length, task), so no length is gathered in one task.
+    length, goes back. Ranks come from sums over (length, task), so no length is gathered in one task. remembers: workers
+    keep their encoders from task to task, which costs memory for each worker that earlier steps left.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, tokenizer, room, end, with_ids))
+    pieces = cut(token_pieces(docs, tokenizer, room, end, with_ids, remembers))
     sums = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    slots = spark.createDataFrame(plan(counts, room), "length long, low long, high long, first long, places long, at long")
+    slots = few_rows(spark, plan(counts, room), "length long, low long, high long, first long, places long, at long")
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
     placed = ranked.join(F.broadcast(slots), "length").where("rank >= low AND rank < high")  # the plan's size is bound by `room`
     out = placed.select(
