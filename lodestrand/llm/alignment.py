@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import piece_codec, tokens
-from .common import cut, tidy
+from .common import blocks, cut, text_bytes, tidy
 
 #: Stands for a null doc_id while rows are dealt out.
 NULL_ID = -(1 << 63)
-#: Tokens of one row of events; links of a group that are made one by one (beyond, by its distinct ids); texts encoded at once.
+#: Tokens of one row of events; links of a group that are made one by one (beyond, by its distinct ids); rows whose links are read at once.
 EVENTS, LINKS, TEXTS = 8192, 1 << 14, 256
+#: Bytes of texts that are encoded at once (a longer text alone): the more, the fewer distinct stretches are looked up.
+ENCODED_BYTES = 4 << 20
+#: Stretches that either side remembers since it last set apart older ones; of those, what isn't met again goes at the next time.
+YOUNG = 250_000
 #: Distinct id pairs whose counts a task holds at once (about 17 bytes each); more are looked up in several passes.
 PAIRS = 4_000_000
 A, B = 0, 1
@@ -31,6 +35,7 @@ class SpacedByteLevel(tokens.ByteLevel):
 
     def __init__(self, path: str):
         super().__init__(path, 2)
+        self.old: dict[str, bytes] = {}
         self.tokenizer.encode_special_tokens = True
         byte_of = {letter: b for b, letter in tokens.BYTE_LETTERS.items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -40,6 +45,17 @@ class SpacedByteLevel(tokens.ByteLevel):
         for token, i in vocabulary.items():
             self.raw[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
 
+    def room(self) -> None:
+        if len(self.known) > YOUNG:
+            self.old = dict(self.known)
+            self.known.clear()
+        if len(self.parts) > tokens.REMEMBERED:
+            self.parts.clear()
+
+    def made(self, key: str) -> bytes:
+        ids = self.old.pop(key, None)
+        return super().made(key) if ids is None else ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.by_stretches(texts, False)
 
@@ -52,9 +68,41 @@ class SpacedPieces(piece_codec.PieceCodec):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.old: dict[str, bytes] = {}
         if self.kind.itemsize > 2:
             raise ValueError("ids need more than 16 bits")
 
+    def room(self) -> None:
+        if len(self.stretches) > YOUNG:
+            self.old = dict(self.stretches)
+            self.stretches.clear()
+
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        met = {k: self.old.pop(k) for k in stretches if k in self.old}
+        return met | super().learn([k for k in stretches if k not in met])
+
+
+class Spelling:
+    """The bytes of a side's tokens: one after the other in `flat`, from `start`, `size` of each."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.flat, self.size = raw, np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def all_right(self, texts: list[str], made: list[np.ndarray]) -> list[bool]:
+        """For each text whether its ids spell a space and the text (an empty one: no bytes needed). All are compared at once, and one by one only if some differ."""
+        want = [b" " + t.encode() if t else b"" for t in texts]
+        ids = np.concatenate([*(m for m, w in zip(made, want) if w), np.zeros(0, np.uint16)])
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        last = np.cumsum([len(m) for m, w in zip(made, want) if w], dtype=np.int64)
+        if len(n) and np.array_equal(np.concatenate(([0], ends))[last], np.cumsum([len(w) for w in want if w])):
+            at = np.repeat((self.start[ids] - (ends - n)), n)
+            at += np.arange(len(at))
+            if np.array_equal(self.flat[at], np.frombuffer(b"".join(want), np.uint8)):
+                return [True] * len(texts)
+        return [not w or b"".join(map(self.raw.__getitem__, m.tolist())) == w for m, w in zip(made, want)]
+
 
 @lru_cache(maxsize=1)
 def first_model(path: str) -> SpacedByteLevel:
@@ -81,11 +129,12 @@ def _events(side: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (second_model if side == A else first_model).cache_clear()
         model = (first_model if side == A else second_model)(path)
-        sizes, raw = np.array([len(x) for x in model.raw]), model.raw
+        spelling = Spelling(model.raw)
+        sizes = spelling.size
         pack, met = zstandard.ZstdCompressor(level=3).compress, {}
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS):
-                part, rows = batch.slice(i, TEXTS), []
+            for i, j in blocks(text_bytes(batch.column("text"))[1], ENCODED_BYTES):
+                part, rows = batch.slice(i, j - i), []
                 keys = list(zip(part.column("doc").to_pylist(), part.column("twin").to_pylist()))
                 fresh = []
                 for k, key in enumerate(keys):
@@ -93,9 +142,8 @@ def _events(side: int, path: str):
                     if met[key] == 1:
                         fresh.append(k)
                 texts = part.column("text").take(pa.array(fresh, pa.int32())).to_pylist()
-                for k, text, ids in zip(fresh, texts, model.encode(texts)):
-                    ids = np.frombuffer(ids, np.uint16)
-                    ok = not text or b"".join(map(raw.__getitem__, ids.tolist())) == b" " + text.encode()
+                made = [np.frombuffer(ids, np.uint16) for ids in model.encode(texts)]
+                for k, text, ids, ok in zip(fresh, texts, made, spelling.all_right(texts, made)):
                     at = 0
                     for j in range(0, len(ids) if ok else 1, EVENTS) if text else (0,):
                         some = ids[j : j + EVENTS] if ok else ids[:0]
@@ -125,7 +173,7 @@ class Sweep:
     leaves. So the state is one row of events of each side besides the open group, and the document's distinct links.
     """
 
-    def __init__(self, key: tuple[int, int], sizes: tuple[np.ndarray, np.ndarray], names: tuple[list[bytes], tuple[int, int, int, int]]):
+    def __init__(self, key: tuple[int, int], sizes: tuple[np.ndarray, np.ndarray], names: tuple[np.ndarray, tuple[int, int, int, int]]):
         self.key, self.sizes, self.names, self.copies, self.ok = key, sizes, names, 0, True
         self.open = [np.zeros(0, np.uint16)] * 2
         self.ends, self.last = [np.zeros(0, np.int64)] * 2, [-1, -1]
@@ -166,7 +214,7 @@ class Sweep:
         name_b[to_b - 1] += end_b - comma_b
         said[np.arange(len(a)) + from_b[group_a]] = name_a
         said[np.arange(len(b)) + to_a[group_b]] = name_b
-        text = b"".join(map(names.__getitem__, said.tolist()))[:-1]
+        text = names[said].tobytes().translate(None, b"\0")[:-1]
         if self.digest is None:
             self.digest = hashlib.sha256(text)
         else:
@@ -218,6 +266,7 @@ def _swept(path_a: str, path_b: str):
             for end in ends:
                 starts.append(len(names))
                 names += [b"%d%c" % (i, end) for i in range(len(raw[side]))]
+        names = np.array(names, "S8").view(np.uint64)  # an id below 2 ** 16 and what ends it, zeros after it
         pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         columns = [c.split()[0] for c in SWEPT.split(", ")]
         state, out = None, []

@@ -177,11 +177,14 @@ class PieceCodec:
         made = dict(zip(new, self.merged(new)))
         return b"".join(map(made.__getitem__, words))
 
+    def room(self) -> None:
+        if len(self.stretches) > REMEMBERED:
+            self.stretches.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, of `kind`, made stretch by stretch between spaces, as no piece has a mark inside."""
         known = self.stretches
-        if len(known) > REMEMBERED:
-            known.clear()
+        self.room()
         names, place, at = tokens.stretches(texts)
         made = list(map(known.get, names))
         new = [k for k, ids in enumerate(made) if ids is None and names[k] and not names[k].endswith(MARK)]
