@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few_rows, ready, tidy
+from .common import blocks, cut, few_rows, ready, release, text_bytes, tidy
 from .tokens import encoder
 
-#: Documents encoded at once.
-BATCH = 256
+#: Bytes of texts that are encoded at once (a longer text alone): the more, the fewer distinct stretches are looked up. Bytes of ids that go out at once.
+ENCODED_BYTES, IDS_BYTES = 4 << 20, 4 << 20
 
 
 def plan(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -76,10 +76,10 @@ def _pieces(path: str, room: int, end: int, with_ids: bool):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
-            for i in range(0, batch.num_rows, BATCH):
-                ids = names.slice(i, BATCH).to_pylist()
+            for i, j in blocks(text_bytes(texts)[1], ENCODED_BYTES):
+                ids = names.slice(i, j - i).to_pylist()
                 rows = []
-                for doc, made in zip(ids, codec.encode([t or "" for t in texts.slice(i, BATCH).to_pylist()])):
+                for doc, made in zip(ids, codec.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])):
                     made += tail
                     n, at, piece = len(made) // 4, 0, 0
                     while at < n:
@@ -91,40 +91,45 @@ def _pieces(path: str, room: int, end: int, with_ids: bool):
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 columns = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local", "z"][: 7 + with_ids]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns)
+                del ids, rows, made
+                release()
 
     return run
 
 
 def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, z, becomes ids."""
+    """The last column, z, becomes ids; at most IDS_BYTES of them, or one row, go out at once."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        ids = pa.array([unpack(z) for z in batch.column("z").to_pylist()], pa.binary())
-        yield pa.record_batch([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
+        ends = 4 * np.cumsum(batch.column("length").to_numpy())
+        for i, j in blocks(np.concatenate(([0], ends)), IDS_BYTES):
+            part = batch.slice(i, j - i)
+            ids = pa.array([unpack(z) for z in part.column("z").to_pylist()], pa.binary())
+            yield pa.record_batch([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False, remembers: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of docs(doc_id, text): ids of the text and the end id, cut into `room` ids if there are more; the first piece is the short one.
 
     part and local rank a piece among those of its length in its task. A null text is empty (one end id). with_ids: z has the
-    piece's ids, little-endian unsigned 32-bit, as zstd for the way. remembers: see `tidy`.
+    piece's ids, little-endian unsigned 32-bit, as zstd for the way. Workers keep no encoder from task to task: with large
+    blocks a task's own words suffice, and encoders would stay in memory while later stages run.
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids), remembers), PIECES + ", z binary" * with_ids)
+    return docs.mapInArrow(tidy(_pieces(tokenizer, room, end, with_ids)), PIECES + ", z binary" * with_ids)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True, remembers: bool = True) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = True) -> DataFrame:
     """Every piece of docs(doc_id, text) with its sequence_id and offset there; with_ids: and its ids, little-endian unsigned 32-bit.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Sequences hold `room` ids at most, without
     gaps. Repeated rows are packed each, a null doc_id stays null, other columns of docs aren't read, an empty table
     gives an empty result. Only the histogram, `room` counts, reaches the driver, and the plan, a few slots for each
-    length, goes back. Ranks come from sums over (length, task), so no length is gathered in one task. remembers: workers
-    keep their encoders from task to task, which costs memory for each worker that earlier steps left.
+    length, goes back. Ranks come from sums over (length, task), so no length is gathered in one task.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, tokenizer, room, end, with_ids, remembers))
+    pieces = cut(token_pieces(docs, tokenizer, room, end, with_ids))
     sums = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -37,7 +37,8 @@ def stretches(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct stretches between single spaces, which of them stands at each place, and the texts' offsets in the places."""
     parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     coded = parts.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+    # by NumPy, as to_pylist makes a scalar of each first
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
 
 
 def joined(made: list[bytes], place: np.ndarray, at: np.ndarray, kind: np.dtype) -> list[bytes]:
