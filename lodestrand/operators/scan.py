@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-#: Positions of a block, and blocks that a group's values are cut into.
-WIDTH, BLOCKS = 4096, 64
+#: Positions of a block, and blocks that a group's values are cut into; rows of a group that is one block, and rows that
+#: the edges of a larger one's blocks are read from, about.
+WIDTH, BLOCKS, LEAST, SAMPLED = 4096, 64, 1024, 4096
 
 
 def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
@@ -18,6 +20,28 @@ def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("__key", F.struct(*by))
 
 
+def in_blocks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with __block, by which a group's values go up: one block for up to LEAST rows, BLOCKS about equal ones for more.
+
+    Edges are quantiles of those rows whose hash falls under the group's part of SAMPLED rows, so they depend on the rows
+    alone. (Approximate quantiles of all rows depend on the order in which tasks end as well; a plan that makes them
+    twice cut the rows in two ways, and carries were lost.) Only where a block ends depends on the sample, no result.
+    """
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(1 << 40))
+    large = df.groupBy(*by).agg(F.count("*").alias("__size")).where(F.col("__size") > LEAST)
+    some = df.withColumn("__part", part).join(large, by).where(F.col("__part") < F.lit(float(SAMPLED << 40)) / F.col("__size"))
+    points = [i / BLOCKS for i in range(1, BLOCKS)]
+    if isinstance(df.schema[value].dataType, NumericType):
+        ends = F.percentile(value, F.array(*map(F.lit, points)))
+    else:
+        met = F.array_sort(F.collect_set(value))
+        ends = F.array(*(F.get(met, F.floor(F.size(met) * p).cast("int")) for p in points))
+    edges = some.groupBy(*by).agg(F.array_distinct(ends).alias("__edges"))
+    cut = df.join(edges, by, "left")
+    return cut.withColumn("__block", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))).drop("__edges")
+
+
 def scan(df: DataFrame, by: list[str], place: str, carries: dict[str, tuple[str, Column]], ties: tuple[Column, ...] = (), width: int = WIDTH) -> DataFrame:
     """df with a column for each of carries over the group's other rows in order of `place`, then of ties.
 
@@ -56,12 +80,9 @@ def scan(df: DataFrame, by: list[str], place: str, carries: dict[str, tuple[str,
 def running_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """df, whose values are unique in their group, with sums (new column: column) over the group's rows of lower values, or higher ones.
 
-    Blocks lie between approximate quantiles of a group's values.
+    Blocks lie between quantiles of a sample of a group's values.
     """
-    rows = _keyed(df, by)
-    points = [i / BLOCKS for i in range(1, BLOCKS)]
-    edges = rows.groupBy("__key").agg(F.array_distinct(F.percentile_approx(value, points, 1000)).alias("__edges"))
-    cut = rows.join(edges, "__key").withColumn("__block", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    cut = in_blocks(_keyed(df, by), ["__key"], value)
     turned = (lambda c: F.desc(c)) if descending else F.col
     up = Window.partitionBy("__key").orderBy(turned("__block")).rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy("__key", "__block").agg(*(F.sum(c).alias(f"__in_{n}") for n, c in sums.items()))
