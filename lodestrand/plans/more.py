@@ -237,8 +237,8 @@ both("m14_ecdf", lambda t: W.pct_rank_first(t.scored.select("g", "score", "o_ord
 
 @query("m17_quantile_normalised", """WITH m AS (SELECT l_suppkey AS gene, l_linenumber AS track, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY v, gene) AS k FROM m), q AS (SELECT k, avg(v) AS q FROM r GROUP BY k) SELECT gene, track, round(q - avg(q) OVER (PARTITION BY gene), 4) + 0.0 AS v FROM r JOIN q USING (k)""")
 def quantile_normalised(t: Tables):
-    m = t.lineitem.groupBy(F.col("l_suppkey").alias("gene"), F.col("l_linenumber").alias("track")).agg(F.avg("l_extendedprice").alias("v"))
-    ranked = W.pct_rank_first(m, ["track"], "v", "gene", "part").withColumn("size", F.count("*").over(Window.partitionBy("track"))).withColumn("k", F.round(F.col("part") * F.col("size")).cast("long"))
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("gene"), F.col("l_linenumber").alias("track")).agg(C.exact_avg(F.col("l_extendedprice")).alias("v"))
+    ranked = W.rank_first(m, ["track"], "v", "gene", "k")
     mean = ranked.groupBy("k").agg(F.avg("v").alias("q"))
     return ranked.join(mean, "k").select("gene", "track", (F.round(F.col("q") - F.avg("q").over(Window.partitionBy("gene")), 4) + 0.0).alias("v"))
 

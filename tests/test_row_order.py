@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import scan, windows
+from lodestrand.plans import inventory, more  # noqa: F401
 
 
 def test_percentiles_of_many_groups(spark):
@@ -27,3 +28,21 @@ def test_blocks_depend_on_rows_alone(spark, kind):
     assert one == two
     sizes = cut[0].groupBy("g", "__block").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("g", "__block").collect()
     assert len(sizes) > 60 and all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]) if a["g"] == b["g"])
+
+
+LINES = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_discount double, l_tax double, l_extendedprice double, l_returnflag string"
+
+
+def lines(spark, path, rows):
+    """A lineitem of (supplier, line, discount, price), in this order in one file."""
+    own = [(i, n, k, 1, d, 0.0, p, "R") for i, (k, n, d, p) in enumerate(rows)]
+    spark.createDataFrame(own, LINES).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_ranks_of_equal_means(spark, tmp_path):
+    """Two genes of equal prices in two orders have equal means: the first gene comes first."""
+    prices = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1]}
+    sf = lines(spark, tmp_path, [(g, 1, 0.0, p) for g in prices for p in prices[g]] + [(1, 2, 0.0, 5.0), (2, 2, 0.0, 9.0)])
+    got = {(r["gene"], r["track"]): r["v"] for r in inventory.QUERIES["m17_quantile_normalised"](spark, sf).collect()}
+    assert got == {(g, n): 0.0 for g in (1, 2) for n in (1, 2)}  # both tracks rank gene 1 before gene 2
