@@ -162,7 +162,7 @@ BOUNDS = MOTIF + ", t AS (SELECT *, max(weight) OVER (PARTITION BY k) AS top, co
 
 
 def motif(t: Tables):
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") - 1).alias("pos")).agg((F.sum(F.abs("l_discount")) + F.sum(F.abs("l_tax"))).alias("weight"))
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") - 1).alias("pos")).agg((C.exact_sum(F.abs("l_discount")) + C.exact_sum(F.abs("l_tax"))).alias("weight"))
 
 
 both("a38_trim_bounds", lambda t: K.trim_bounds(motif(t), ["k"], 0.8, 1), f"WITH {BOUNDS} SELECT * FROM b")

@@ -46,3 +46,13 @@ def test_ranks_of_equal_means(spark, tmp_path):
     sf = lines(spark, tmp_path, [(g, 1, 0.0, p) for g in prices for p in prices[g]] + [(1, 2, 0.0, 5.0), (2, 2, 0.0, 9.0)])
     got = {(r["gene"], r["track"]): r["v"] for r in inventory.QUERIES["m17_quantile_normalised"](spark, sf).collect()}
     assert got == {(g, n): 0.0 for g in (1, 2) for n in (1, 2)}  # both tracks rank gene 1 before gene 2
+
+
+def test_trim_bounds_of_equal_weights(spark, tmp_path):
+    """Ten tenths are one, which is 0.8 of the top of 1.25, in whatever order they are added up."""
+    sf = lines(spark, tmp_path, [(1, 1, 0.1, 1.0)] * 10 + [(1, 4, 1.25, 1.0)] + [(1, n, 0.0, 1.0) for n in (2, 3, 5, 6)])
+    row = inventory.QUERIES["a38_trim_bounds"](spark, sf).first()
+    assert (row["trim_start"], row["trim_end"], row["size"]) == (0, 5, 6)
+    assert inventory.QUERIES["a39_confidence"](spark, sf).first()["confidence"] == 2.25
+    placed = inventory.QUERIES["c27_seqlet_place"](spark, sf).where("l_linenumber = 4").first()
+    assert (placed["start"], placed["end"]) == (6, 11)
