@@ -115,6 +115,89 @@ def matched_negatives(positives: DataFrame, candidates: DataFrame, key: list[str
     return a.join(b.select(*key, "rank", "negative"), [*key, "rank"], "left").drop("rank")
 
 
+#: Windows whose mutants are made at once.
+MUTATED = 4096
+
+
+def _mutant_sums(others: list[str], seq: str, width: int):
+    """Each row's count of mutants, sum of their places, least and greatest mutant; a window's mutants are made one place and base at a time.
+
+    Characters are numbers from 1, so that what fills up a short window comes before all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            n, places, first, last = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [None] * rows, [None] * rows
+            for wide in (False, True):
+                held, of, size = [], [], 0
+                for r, text in enumerate(batch.column(seq).to_pylist()):
+                    if not text or (not text.isascii()) != wide:
+                        continue
+                    codes = np.frombuffer(text.encode("utf-32-le"), "<u4") + 1 if wide else np.frombuffer(text.encode(), np.uint8) + np.uint8(1)
+                    codes = np.pad(codes, (0, -len(codes) % width)).reshape(-1, width)
+                    for i in range(0, len(codes), MUTATED):
+                        part = codes[i : i + MUTATED]
+                        held.append(part)
+                        of.append(np.full(len(part), r))
+                        size += len(part)
+                        if size >= MUTATED:
+                            _mutate(np.concatenate(held), np.concatenate(of), wide, n, places, first, last)
+                            held, of, size = [], [], 0
+                if held:
+                    _mutate(np.concatenate(held), np.concatenate(of), wide, n, places, first, last)
+            told = lambda v, wide: None if v is None else (np.frombuffer(v + bytes(-len(v) % 4), ">u4") - 1).astype("<u4").tobytes().decode("utf-32-le") if wide else bytes(b - 1 for b in v).decode()
+            ends = [[None if v is None else told(*v) for v in end] for end in (first, last)]
+            yield pa.record_batch([*(batch.column(c) for c in others), pa.array(n), pa.array(places), *(pa.array(e, pa.string()) for e in ends)], names=[*others, "n", "places", "first", "last"])
+
+    return run
+
+
+def _mutate(windows: np.ndarray, of: np.ndarray, wide: bool, n: np.ndarray, places: np.ndarray, first: list, last: list) -> None:
+    """Adds the mutants of windows, rows of equal width, to the sums of the rows that they are of."""
+    kind = ">u4" if wide else np.uint8
+    windows = np.ascontiguousarray(windows.astype(kind))
+    name = f"S{windows.shape[1] * windows.dtype.itemsize}"
+    low, high, any_ = windows.copy(), windows.copy(), np.zeros(len(windows), bool)
+    bases, count, total = [ord(b) + 1 for b in "ACGT"], np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+    for i in range(windows.shape[1]):
+        known = np.isin(windows[:, i], bases)
+        for b in bases:
+            at = np.flatnonzero(known & (windows[:, i] != b))
+            if not len(at):
+                continue
+            made = windows[at]
+            made[:, i] = b
+            names = made.view(name).ravel()
+            fresh = ~any_[at]
+            less = fresh | (names < low[at].view(name).ravel())
+            more = fresh | (names > high[at].view(name).ravel())
+            low[at[less]], high[at[more]], any_[at] = made[less], made[more], True
+            count[at] += 1
+            total[at] += i
+    np.add.at(n, of, count)
+    np.add.at(places, of, total)
+    at = np.flatnonzero(any_)
+    for r, a, b in zip(of[at].tolist(), low[at].view(name).ravel().tolist(), high[at].view(name).ravel().tolist()):
+        if first[r] is None or a < first[r][0]:
+            first[r] = (a, wide)
+        if last[r] is None or b > last[r][0]:
+            last[r] = (b, wide)
+
+
+def mutant_sums(df: DataFrame, by: list[str], seq: str, width: int = 32) -> DataFrame:
+    """(by, n, places, first, last) of all single mutants (Q10) of windows of `width` over the whole of each sequence.
+
+    Rows of mutants would be three times `width` the text, and least and greatest strings are kept by sorting, so a window's
+    mutants are made and summed up where it is, a few thousand windows at a time. Groups without a mutant have no row.
+    """
+    ship(df.sparkSession)
+    rows = df.where(F.length(seq) > 0).select(*by, seq)
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    own = rows.mapInArrow(_mutant_sums(by, seq, width), f"{kept}, n long, places long, first string, last string")
+    return own.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.sum("places").alias("places"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def _best_hits(motifs: list[tuple[str, list[list[float]], float]], seq: str, others: list[str]):
     """Each row's best hit of each motif, of those that reach its part of the perfect score."""
 
