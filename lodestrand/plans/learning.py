@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import clusters, learn
 from .inventory import Tables, both
 
@@ -23,7 +24,7 @@ both("m22_kmeans", lambda t: clusters.kmeans(vectors(t), 5, 25).groupBy("cluster
 
 def suppliers(t: Tables):
     """Suppliers as points: what they sell on average."""
-    own = t.lineitem.groupBy(F.col("l_suppkey").alias("id")).agg(F.avg("l_quantity").cast("double").alias("q"), (F.avg("l_extendedprice") / 1000).cast("double").alias("p"), (F.avg("l_discount") * 100).cast("double").alias("d"))
+    own = t.lineitem.groupBy(F.col("l_suppkey").alias("id")).agg(C.exact_avg(F.col("l_quantity")).alias("q"), (C.exact_avg(F.col("l_extendedprice")) / 1000).alias("p"), (C.exact_avg(F.col("l_discount")) * 100).alias("d"))
     return own.select("id", F.array("q", "p", "d").alias("x"))
 
 
